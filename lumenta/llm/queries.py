@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenta.llm import merkle, mixing
-from lumenta.llm.common import documents
+from lumenta.llm import merkle, mixing, packing, token_files
+from lumenta.llm.common import documents, stored
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = stored(token_files.flatten(documents(spark, sf_dir).select("doc_id", "text")), "tokens")
+    return token_files.counted(files)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -52,5 +61,5 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edit) AS edited_sha256, f
 FROM out
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_pack_sequences": op2_pack_sequences, "op9_token_counts": op9_token_counts, "op10_fingerprints": op10_fingerprints}
 SQL = {"op1_mix_sources": OP1_SQL, "op10_fingerprints": OP10_SQL}
