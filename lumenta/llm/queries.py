@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenta.llm import merkle, mixing, packing, token_files
-from lumenta.llm.common import documents, stored
+from lumenta.llm import language_id, lm_scoring, merkle, mixing, packing, token_files
+from lumenta.llm.common import documents, id_crc, stored
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,16 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = docs.select("doc_id", "text", (id_crc(F.col("doc_id")) % 4 == 2).alias("held_out"))
+    return language_id.predict(rows, language_id.fit(docs), ["doc_id", "held_out"])
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = stored(token_files.flatten(documents(spark, sf_dir).select("doc_id", "text")), "tokens")
     return token_files.counted(files)
@@ -61,5 +71,5 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edit) AS edited_sha256, f
 FROM out
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_pack_sequences": op2_pack_sequences, "op9_token_counts": op9_token_counts, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_pack_sequences": op2_pack_sequences, "op5_lm_scores": op5_lm_scores, "op6_language_id": op6_language_id, "op9_token_counts": op9_token_counts, "op10_fingerprints": op10_fingerprints}
 SQL = {"op1_mix_sources": OP1_SQL, "op10_fingerprints": OP10_SQL}
