@@ -1,9 +1,12 @@
 """Language-model scores: the marginal probability of a text over all its segmentations.
 
 Words are counted over the whole corpus, map-side first. The weights of a fixed piece
-vocabulary start from the scores in its file and are fitted to the counted words of
+vocabulary start from the scores in its file and are fitted to the distinct words of
 the training documents by expectation maximisation, where the E step is the forward
-and backward recursion of lattice.py. Each distinct word is then scored once, and
+and backward recursion of lattice.py. A word seen in training also has an edge of its
+own in the lattice, of its count less a discount; what the discounts free is the
+weight of the segmentations into pieces. So word probabilities sum to one, and words
+never seen get theirs from their pieces. Each distinct word is then scored once, and
 documents look their words up: they are dealt to groups of a bounded number of bytes,
 a group asks for each of its distinct words once, and the answers come back to it.
 No vocabulary is collected or broadcast, only piece weights, whose number is fixed.
@@ -66,8 +69,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "train").mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def fit(words: DataFrame, ends: int, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log weights (pieces, 1) fitted to (word, count); the driver sees one number for each piece of the vocabulary."""
+def fit(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Log weights (pieces, 1) fitted to the distinct words of (word, count); the driver sees one number for each piece.
+
+    Distinct words and not running ones, since pieces have to spell the words that training has not seen.
+    """
     model = lattice.lattice(vocabulary)
     logp = model.prior()[:, None]
     for _ in range(rounds):
@@ -75,20 +81,38 @@ def fit(words: DataFrame, ends: int, vocabulary: str, rounds: int = ROUNDS) -> n
         def run(frames: Iterator[pd.DataFrame], logp: np.ndarray = logp) -> Iterator[pd.DataFrame]:
             total = None
             for f in frames:
-                part = lattice.lattice(vocabulary).expected(f["word"].tolist(), f["count"].to_numpy(float)[:, None], logp)[:, 0]
+                part = lattice.lattice(vocabulary).expected(f["word"].tolist(), np.ones((len(f), 1)), logp)[:, 0]
                 total = part if total is None else total + part
             if total is not None:
                 found = np.flatnonzero(total)
                 yield pd.DataFrame({"piece": found, "expected": total[found]})
 
         counts = np.zeros((model.size, 1))
-        for piece, n in words.where("word IS NOT NULL AND count > 0").select("word", "count").mapInPandas(run, "piece int, expected double").groupBy("piece").agg(F.sum("expected")).collect():
+        for piece, n in words.where("word IS NOT NULL AND count > 0").select("word").mapInPandas(run, "piece int, expected double").groupBy("piece").agg(F.sum("expected")).collect():
             counts[piece, 0] = n
-        counts[model.end, 0] = ends
         logp = lattice.normalised(counts, SMOOTH)
     return logp
 
 
+class Weights:
+    """How much of a token is the end, a word's own edge, or its pieces.
+
+    n: training tokens, of which ends are ends; types: distinct words; once and twice:
+    how many came once and twice, which gives the discount by the Good-Turing ratio.
+    """
+
+    def __init__(self, n: int, ends: int, types: int, once: int, twice: int) -> None:
+        self.end, self.words = (ends + 0.5) / (n + 1), n - ends
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
+        self.pieces = self.discount * types / self.words if self.words else 1.0
+
+    def log10(self, count: np.ndarray, lp: np.ndarray) -> np.ndarray:
+        """Words' log10 probabilities from their training counts and their pieces' natural log marginals."""
+        own = np.maximum(count - self.discount, 0) / max(1, self.words)
+        with np.errstate(divide="ignore"):
+            return (np.logaddexp(np.log(own), math.log(self.pieces) + lp) + math.log(1 - self.end)) / math.log(10)
+
+
 def score(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
@@ -97,21 +121,23 @@ def score(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None
     smoothed word unigram's log10 probability; score is that of the pieces' lattice. Null
     texts count as empty: an end alone. Repeated rows are scored each; extra columns are
     dropped; an empty table gives an empty one; without training rows only the
-    vocabulary's own scores count.
+    vocabulary's own scores count, and an end is as likely as not.
     """
     path = vocabulary or lattice.vocabulary()
     train = (id_crc(F.col("doc_id")) % 10 != 0) if train is None else train
     rows = docs.select("doc_id", "text", train.alias("train"))
     counted = stored(word_counts(rows), "words")
     totals = counted.agg(
-        F.sum("count").alias("n"), F.sum(F.when(F.col("count") > 0, 1)).alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("count"))).alias("ends")
+        F.sum("count").alias("n"), F.sum(F.when(F.col("count") > 0, 1)).alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("count"))).alias("ends"),
+        *[F.count_if(F.col("word").isNotNull() & (F.col("count") == k)).alias(f"c{k}") for k in (1, 2)],
     ).first()
-    n, v, ends = (int(x or 0) for x in totals)
-    logp = fit(counted, ends, path, rounds)
+    n, v, ends, once, twice = (int(x or 0) for x in totals)
+    weights = Weights(n, ends, v - (ends > 0), once, twice)
+    logp = fit(counted, path, rounds)
 
     def marginal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(lp=lattice.lattice(path).score(f["word"].tolist(), logp)[:, 0] / math.log(10))
+            yield f.assign(lp=weights.log10(f["count"].to_numpy(float), lattice.lattice(path).score(f["word"].tolist(), logp)[:, 0]))
 
     table = counted.where("word IS NOT NULL").mapInPandas(marginal, "word string, count long, lp double")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -127,7 +153,7 @@ def score(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None
     asked = dealt.groupBy("g").applyInArrow(ask, "g int, word string")
     answers = asked.join(table, "word").select("g", "word", "count", "lp")
     floor, below = 0.1, n + 0.1 * (v + 1)
-    end_base, end_lp = math.log10((ends + floor) / below), float(logp[lattice.lattice(path).end, 0]) / math.log(10)
+    end_base, end_lp = math.log10((ends + floor) / below), math.log10(weights.end)
 
     def join(own: pa.Table, found: pa.Table) -> pa.Table:
         words = {w: i for i, w in enumerate(found.column("word").cast(pa.binary()).to_pylist())}
