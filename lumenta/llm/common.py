@@ -65,3 +65,12 @@ def crc_of_id(doc_id: object) -> int:
 
 def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df, written as a table in buckets of key: later groupings and joins by key need no shuffle of it."""
+    spark = df.sparkSession
+    n, table = parts(spark), f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenta.llm import language_id, lm_scoring, merkle, minhash, mixing, packing, token_files
+from lumenta.llm import language_id, lm_scoring, merkle, minhash, mixing, packing, suffixes, token_files
 from lumenta.llm.common import documents, id_crc, stored
 
 
@@ -28,6 +28,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, language_id.fit(docs), ["doc_id", "held_out"])
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=85)
 
@@ -75,5 +80,5 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edit) AS edited_sha256, f
 FROM out
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_pack_sequences": op2_pack_sequences, "op5_lm_scores": op5_lm_scores, "op6_language_id": op6_language_id, "op8_near_duplicates": op8_near_duplicates, "op9_token_counts": op9_token_counts, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_pack_sequences": op2_pack_sequences, "op5_lm_scores": op5_lm_scores, "op6_language_id": op6_language_id, "op7_repeated_strings": op7_repeated_strings, "op8_near_duplicates": op8_near_duplicates, "op9_token_counts": op9_token_counts, "op10_fingerprints": op10_fingerprints}
 SQL = {"op1_mix_sources": OP1_SQL, "op10_fingerprints": OP10_SQL}
