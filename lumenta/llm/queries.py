@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenta.llm import language_id, lm_scoring, merkle, minhash, mixing, packing, suffixes, token_files
+from lumenta.llm import language_id, lm_scoring, media, merkle, minhash, mixing, packing, suffixes, token_files
 from lumenta.llm.common import documents, id_crc, stored
 
 
@@ -18,6 +18,10 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.stored(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -80,5 +84,5 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edit) AS edited_sha256, f
 FROM out
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_pack_sequences": op2_pack_sequences, "op5_lm_scores": op5_lm_scores, "op6_language_id": op6_language_id, "op7_repeated_strings": op7_repeated_strings, "op8_near_duplicates": op8_near_duplicates, "op9_token_counts": op9_token_counts, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_pack_sequences": op2_pack_sequences, "op4_media": op4_media, "op5_lm_scores": op5_lm_scores, "op6_language_id": op6_language_id, "op7_repeated_strings": op7_repeated_strings, "op8_near_duplicates": op8_near_duplicates, "op9_token_counts": op9_token_counts, "op10_fingerprints": op10_fingerprints}
 SQL = {"op1_mix_sources": OP1_SQL, "op10_fingerprints": OP10_SQL}
