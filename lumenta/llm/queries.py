@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenta.llm import language_id, lm_scoring, media, merkle, minhash, mixing, packing, suffixes, token_files
+from lumenta.llm import language_id, lines, lm_scoring, media, merkle, minhash, mixing, packing, suffixes, token_files
 from lumenta.llm.common import documents, id_crc, stored
 
 
@@ -18,6 +18,11 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "text")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.stored(documents(spark, sf_dir).select("doc_id", "text")))
 
@@ -67,6 +72,18 @@ rated AS (SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_s
 SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken FROM rated
 """
 
+OP3_SQL = r"""
+WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+win AS (SELECT doc_id, unnest(range(len(ls) - 2)) AS place, ls FROM cut WHERE len(ls) >= 3),
+keyed AS (SELECT doc_id, place, row_number() OVER (PARTITION BY ls[place + 1] || chr(10) || ls[place + 2] || chr(10) || ls[place + 3] ORDER BY doc_id NULLS LAST, place) AS nth FROM win),
+gone AS (SELECT DISTINCT doc_id, place + k AS line FROM keyed, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1),
+gathered AS (SELECT doc_id, list(line) AS lines FROM gone GROUP BY doc_id)
+SELECT c.doc_id, coalesce(len(c.ls), 0)::BIGINT AS n_lines, coalesce(len(g.lines), 0)::BIGINT AS n_removed,
+  CASE WHEN g.lines IS NULL THEN c.text WHEN len(g.lines) = len(c.ls) THEN ''
+    ELSE array_to_string(list_transform(list_filter(range(len(c.ls)), lambda i: NOT list_contains(g.lines, i)), lambda i: c.ls[i + 1]), chr(10)) END AS text
+FROM cut c LEFT JOIN gathered g ON c.doc_id = g.doc_id
+"""
+
 OP10_SQL = r"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 chained AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, text), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text)) AS nxt FROM base),
@@ -84,5 +101,5 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edit) AS edited_sha256, f
 FROM out
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_pack_sequences": op2_pack_sequences, "op4_media": op4_media, "op5_lm_scores": op5_lm_scores, "op6_language_id": op6_language_id, "op7_repeated_strings": op7_repeated_strings, "op8_near_duplicates": op8_near_duplicates, "op9_token_counts": op9_token_counts, "op10_fingerprints": op10_fingerprints}
-SQL = {"op1_mix_sources": OP1_SQL, "op10_fingerprints": OP10_SQL}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_pack_sequences": op2_pack_sequences, "op3_line_dedup": op3_line_dedup, "op4_media": op4_media, "op5_lm_scores": op5_lm_scores, "op6_language_id": op6_language_id, "op7_repeated_strings": op7_repeated_strings, "op8_near_duplicates": op8_near_duplicates, "op9_token_counts": op9_token_counts, "op10_fingerprints": op10_fingerprints}
+SQL = {"op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op10_fingerprints": OP10_SQL}
