@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import stored
+from lumenta.llm.common import fresh, stored
 
 BANDS, ROWS = 30, 5
 #: Members of one block in the comparison by signature.
@@ -207,7 +208,7 @@ def left_over(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, text_hash and component (any number) for every row of docs (doc_id, text).
 
     Rows whose sets of k-word shingles have 100 * intersection >= percent * union are
     linked; component_id is the least doc_id that can be reached over links. Texts
@@ -245,7 +246,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     again = confirmed(more, sets).where(linked).select("a", "b")
     final = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(again))
     rooted = classes.join(final, F.col("class") == F.col("node"), "left").select("row", F.coalesce("root", "class").alias("root"))
-    named = rows.select("row", "doc_id", "n").join(rooted, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    named = rows.select("row", "doc_id", "n", "text_hash").join(rooted, "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "root")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", F.col("root").alias("component"))
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs of which one of each component stays, with all their columns.
+
+    Of repeated ids within a component one row stays. Rows without words all stay.
+    """
+    near = stored(near_duplicates(docs.select("doc_id", "text"), k, percent), "near")
+    one = near.where("n_shingles > 0 AND kept").groupBy("doc_id", "component").agg(F.min("text_hash").alias("text_hash"))
+    d, h = fresh(docs, "__id"), fresh(docs, "__hash")
+    stay = one.select("doc_id", "text_hash").unionByName(near.where("n_shingles = 0").select("doc_id", "text_hash")).distinct().withColumnsRenamed({"doc_id": d, "text_hash": h})
+    mark = fresh(docs, "__text_hash")
+    out = docs.withColumn(mark, F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(mark) == F.col(h)), "left_semi")
+    if not near.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        number = fresh(docs, "__nth")
+        first = F.row_number().over(W.partitionBy("doc_id", mark).orderBy(mark))
+        out = out.withColumn(number, first).where((F.col(number) == 1) | (F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\r\x0b\x0c")) == "")).drop(number)
+    return out.drop(mark)

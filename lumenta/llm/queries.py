@@ -43,7 +43,7 @@ def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=85)
+    return minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=85).drop("text_hash", "component")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,14 +47,14 @@ def corpus(rng, groups, size, edits):
 def test_components_match_all_pairs(spark, k, percent):
     rows = corpus(random.Random(k), 25, 25, 7)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k, percent).collect()
-    assert sorted(str(tuple(r)) for r in got) == by_hand(rows, k, percent)
+    assert sorted(str(tuple(r)[:4]) for r in got) == by_hand(rows, k, percent)
 
 
 def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SIDE", 5)
     rows = corpus(random.Random(9), 4, 60, 9)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
-    assert sorted(str(tuple(r)) for r in got) == by_hand(rows, 3, 85)
+    assert sorted(str(tuple(r)[:4]) for r in got) == by_hand(rows, 3, 85)
 
 
 def test_components_of_a_path(spark):
@@ -70,5 +70,14 @@ def test_components_of_a_path(spark):
 def test_odd_rows(odd, none):
     df = odd("row")
     got = minhash.near_duplicates(df).collect()
-    assert sorted(str(tuple(r)) for r in got) == by_hand([(r.doc_id, r.text) for r in df.collect()], 5, 80)
+    assert sorted(str(tuple(r)[:4]) for r in got) == by_hand([(r.doc_id, r.text) for r in df.collect()], 5, 80)
     assert minhash.near_duplicates(none).count() == 0
+
+
+def test_representatives(spark, odd):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (1, "a b c d e f g"), (3, "other text here"), (4, None), (4, None), (5, " "), (3, "x y z w v u t")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, `row` string")
+    got = minhash.representatives(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.where("doc_id <> 2").distinct().union(df.where("doc_id = 4").limit(1)).collect()))
+    assert minhash.representatives(odd("kept")).count() == 8
