@@ -97,7 +97,7 @@ def fit(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None =
 
         def run(frames: Iterator[pd.DataFrame], logp: np.ndarray = logp) -> Iterator[pd.DataFrame]:
             total = np.zeros((lattice.lattice(path).size, len(langs)))
-            for f in frames:
+            for f in lattice.gathered(frames):
                 total += lattice.lattice(path).expected(f["word"].tolist(), f[[f"n{i}" for i in range(len(langs))]].to_numpy(float), logp)
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "lang": lang, "expected": total[piece, lang]})

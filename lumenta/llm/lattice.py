@@ -14,6 +14,7 @@ import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 
 BEGIN = "▁"  # marks a word's beginning in the vocabulary
 #: Longer words go through the recursion one at a time.
@@ -164,6 +165,8 @@ class Lattice:
                 beta = np.full_like(alpha, -np.inf)
                 beta[length] = 0
                 scale = np.log(weights[own]) - alpha[length]
+                found: list[np.ndarray] = []
+                shares: list[np.ndarray] = []
                 for j in range(length, 0, -1):
                     for i, ids in keep[j - 1]:
                         edge = padded[ids]
@@ -172,11 +175,15 @@ class Lattice:
                             edge[unknown] = self._spelled(codes[unknown, i], padded)
                         onward = edge + beta[j]
                         share = np.exp(alpha[i] + onward + scale)
-                        for m in range(k):
-                            total[:, m] += np.bincount(np.where(ids < 0, self.size, ids), weights=share[:, m], minlength=self.size + 1)
+                        found.append(ids)
+                        shares.append(share)
                         for u in unknown:
                             np.add.at(total, self.bytes[list(chr(codes[u, i]).encode("utf-8", "surrogatepass"))], share[u])
                         beta[i] = np.logaddexp(beta[i], onward)
+                ids, share = np.concatenate(found), np.concatenate(shares)
+                ids = np.where(ids < 0, self.size, ids)
+                for m in range(k):
+                    total[:, m] += np.bincount(ids, weights=share[:, m], minlength=self.size + 1)
         return total[:-1]
 
 
@@ -192,6 +199,12 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
+def gathered(frames: Iterator[pd.DataFrame], rows: int = 120_000) -> Iterator[pd.DataFrame]:
+    """Frames joined until they have so many rows: words of one length are then many enough to be worth an array."""
+    for held in chunks(frames, len, rows):
+        yield pd.concat(held, ignore_index=True)
+
+
 def chunks(items: Iterable, size: callable, most: int) -> Iterator[list]:
     """items in lists of about most by size."""
     held, total = [], 0

@@ -80,7 +80,7 @@ def fit(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
 
         def run(frames: Iterator[pd.DataFrame], logp: np.ndarray = logp) -> Iterator[pd.DataFrame]:
             total = None
-            for f in frames:
+            for f in lattice.gathered(frames):
                 part = lattice.lattice(vocabulary).expected(f["word"].tolist(), np.ones((len(f), 1)), logp)[:, 0]
                 total = part if total is None else total + part
             if total is not None:
@@ -136,7 +136,7 @@ def score(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None
     logp = fit(counted, path, rounds)
 
     def marginal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in lattice.gathered(frames):
             yield f.assign(lp=weights.log10(f["count"].to_numpy(float), lattice.lattice(path).score(f["word"].tolist(), logp)[:, 0]))
 
     table = counted.where("word IS NOT NULL").mapInPandas(marginal, "word string, count long, lp double")
