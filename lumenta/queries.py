@@ -1,4 +1,285 @@
-"""Registered queries of the retrieval engine."""
+"""Registered queries of the retrieval engine, over embeddings and documents.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The vectors are the positive components of embeddings, the query batch those of the
+first twenty. Clustered queries keep 100 postings of a term in 10 clusters.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenta.functions import vectors as expressions
+from lumenta.functions.quantize import Quantizer
+from lumenta.operators import clusters, idmap, postings, score, search, topk
+from lumenta.oracle import SQL
+from lumenta.plans import store
+from lumenta.plans.index import Selector, index_factory
+from lumenta.sources import vectors as sources
+from lumenta.types import SearchParameters
+
+DIM, K, FIRST, LAM, BETA, ALPHA, CUT = 64, 10, 20, 100, 10, 0.4, 3
+Q8, Q16 = Quantizer(8, 0.0, 0.6), Quantizer(16, 0.0, 0.6)
+
+
+def embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return sources.positive_components(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def batch(entries: DataFrame) -> DataFrame:
+    return entries.where(F.col("doc_id") < FIRST).select(F.col("doc_id").alias("qid"), "term", F.col("value").alias("weight"))
+
+
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "label")
+
+
+def ids_of(spark: SparkSession, sf: str, condition: str) -> DataFrame:
+    return labels(spark, sf).where(condition).select(F.col("doc_id").alias("id"))
+
+
+def vectors_to_postings(spark: SparkSession, sf: str) -> DataFrame:
+    return postings.transpose(embeddings(spark, sf))
+
+
+def vector_stats(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    return e.agg(F.countDistinct("doc_id").alias("n_vectors"), F.count("*").alias("nnz"), (F.max("term") + 1).cast("int").alias("dim"))
+
+
+def densify(spark: SparkSession, sf: str) -> DataFrame:
+    dense = sources.rows(embeddings(spark, sf)).select("doc_id", expressions.dense(F.col("indices"), F.col("values"), DIM).alias("d"))
+    return dense.select("doc_id", F.posexplode("d").alias("term", "value"))
+
+
+def row_dot(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector's inner product with its own dense form, and the place of its largest value."""
+    r = sources.rows(embeddings(spark, sf)).withColumn("d", expressions.dense(F.col("indices"), F.col("values"), DIM))
+    return r.select("doc_id", F.round(expressions.dot_dense(F.col("indices"), F.col("values"), F.col("d")), 6).alias("dot"), expressions.argmax(F.col("d")).alias("argmax"))
+
+
+def integer_dot(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf).withColumn("value", Q16.encode(F.col("value")))
+    r = sources.rows(e).withColumn("d", F.transform(expressions.dense(F.col("indices"), F.col("values"), DIM), lambda x: x.cast("bigint")))
+    return r.select("doc_id", expressions.dot_codes(F.col("indices"), F.col("values"), F.col("d")).alias("dot"))
+
+
+def term_max_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return postings.term_stats(postings.transpose(embeddings(spark, sf)))
+
+
+def postings_lambda(spark: SparkSession, sf: str) -> DataFrame:
+    return postings.pruned(postings.transpose(embeddings(spark, sf)), LAM)
+
+
+def query_cut(spark: SparkSession, sf: str) -> DataFrame:
+    return postings.query_cut(batch(embeddings(spark, sf)), CUT)
+
+
+def brute_topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    return search.brute(e, batch(e), K)
+
+
+def brute_topk_padded(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    few = e.where("doc_id < 5 AND term < 6")
+    q = batch(e).where("term < 3")
+    return topk.padded(search.brute(few, q, K), q, K)
+
+
+def inverted_topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    return search.inverted(e, batch(e), K)
+
+
+def inverted_top100(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    return search.inverted(e, batch(e), 100)
+
+
+def maxscore_topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    return search.maxscore(e, postings.term_stats(e), batch(e), K)
+
+
+def dedupe_topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    scored = topk.rounded(score.products(e, batch(e)))
+    return search.deduplicated(scored, labels(spark, sf), "label", 5)
+
+
+def score_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    return topk.thresholds(topk.rounded(score.products(e, batch(e))), K)
+
+
+def encoded(q: Quantizer) -> Callable:
+    return lambda spark, sf: embeddings(spark, sf).withColumn("code", q.encode(F.col("value"))).select("doc_id", "term", "code")
+
+
+def sq_decode(spark: SparkSession, sf: str) -> DataFrame:
+    return encoded(Q8)(spark, sf).select("doc_id", "term", F.round(Q8.decode(F.col("code")), 9).alias("value"))
+
+
+def quantized_topk(q: Quantizer) -> Callable:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        codes = embeddings(spark, sf).withColumn("value", q.encode(F.col("value")))
+        return search.quantized(codes, batch(codes), q, q, K)
+
+    return run
+
+
+def lists_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = embeddings(spark, sf)
+    return e, postings.pruned(postings.transpose(e), LAM)
+
+
+def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.centroids(lists_of(spark, sf)[1], BETA)
+
+
+def cluster_assign(spark: SparkSession, sf: str) -> DataFrame:
+    e, lists = lists_of(spark, sf)
+    return clusters.assigned(lists, e, BETA)
+
+
+def cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster_assign(spark, sf).groupBy("term", "cluster_id").agg(F.count("*").alias("n"))
+
+
+def cluster_summary(alpha: float) -> Callable:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        e, lists = lists_of(spark, sf)
+        return clusters.summaries(clusters.assigned(lists, e, BETA), e, alpha)
+
+    return run
+
+
+def built(spark: SparkSession, sf: str, alpha: float = ALPHA) -> tuple[dict[str, DataFrame], DataFrame]:
+    e, lists = lists_of(spark, sf)
+    members = clusters.assigned(lists, e, BETA).cache()
+    return {"vectors": e, "members": members, "summaries": clusters.summaries(members, e, alpha).cache()}, batch(e)
+
+
+def summary_scores(spark: SparkSession, sf: str) -> DataFrame:
+    index, q = built(spark, sf)
+    return clusters.summary_scores(postings.query_cut(q, CUT), q, index["summaries"]).withColumn("s_score", F.round("s_score", 6))
+
+
+def clustered(mode: str, heap_factor: float = 1.0, condition: str | None = None) -> Callable:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        index, q = built(spark, sf)
+        docs = None if condition is None else labels(spark, sf).where(condition).select("doc_id")
+        return search.clustered(index, q, K, SearchParameters(CUT, heap_factor, mode), docs)
+
+    return run
+
+
+def clustered_sq_topk(spark: SparkSession, sf: str) -> DataFrame:
+    index, q = built(spark, sf)
+    code = lambda df, c: df.withColumn(c, Q8.encode(F.col(c)))
+    lists = postings.pruned(postings.transpose(code(index["vectors"], "value")), LAM)
+    members = lists.select("term", F.lit(0).alias("cluster_id"), "doc_id")
+    found = search.clustered({"vectors": code(index["vectors"], "value"), "members": members}, code(q, "weight"), K, SearchParameters(CUT, mode="exhaustive"), integer=True)
+    return found.withColumn("score", F.round(Q8.decode_dot(F.col("score"), Q8), topk.DIGITS))
+
+
+def filter_topk(exclude: bool) -> Callable:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        e = embeddings(spark, sf)
+        ids = ids_of(spark, sf, "label IN (1, 3, 5)")
+        return search.inverted((score.excluded if exclude else score.included)(e, ids), batch(e), K)
+
+    return run
+
+
+def exact_match_topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    ids = ids_of(spark, sf, "vec_id % 50 = 7 AND vec_id < 500")
+    q = batch(e)
+    return topk.padded(search.exact(e, q, ids, K), q, K)
+
+
+def idmap_topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    ids = labels(spark, sf).select(F.col("doc_id").alias("internal_id"), (1000 + 3 * F.col("doc_id")).alias("external_id"))
+    wanted = ids.where("external_id % 2 = 0").select(F.col("external_id").alias("id"))
+    found = search.inverted(score.included(e, idmap.to_internal(wanted, ids)), batch(e), K)
+    return idmap.to_external(found, ids)
+
+
+def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    index, q = built(spark, sf)
+    found = search.clustered(index, q, K, SearchParameters(CUT, mode="exhaustive"))
+    return search.recall(found, search.inverted(index["vectors"], q, K))
+
+
+def store_roundtrip_topk(spark: SparkSession, sf: str) -> DataFrame:
+    import tempfile
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    e = embeddings(spark, sf)
+    index = index_factory(spark, DIM, "inverted").add(sources.rows(e)).build()
+    path = f"{base.rstrip('/')}/index-{spark.sparkContext.applicationId}"
+    store.save(index, path, mode="overwrite")
+    q = sources.rows(batch(e).withColumnRenamed("weight", "value"), "qid")
+    return store.load(spark, path).search(q, K)
+
+
+def index_include_topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    index = index_factory(spark, DIM, "brutal").add(sources.rows(e))
+    q = sources.rows(batch(e).withColumnRenamed("weight", "value"), "qid")
+    return index.search(q, K, select=Selector(ids_of(spark, sf, "label IN (1, 3, 5)")))
+
+
+def doc_lex_topk(spark: SparkSession, sf: str) -> DataFrame:
+    docs, dictionary = sources.lexical(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+    q, _ = sources.lexical(spark.read.parquet(f"{sf}/benchmark.parquet").withColumnRenamed("item_id", "qid"), "qid", "text", dictionary)
+    return search.inverted(docs, q.withColumnRenamed("value", "weight"), K)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "vectors_to_postings": vectors_to_postings,
+    "vector_stats": vector_stats,
+    "densify": densify,
+    "row_dot": row_dot,
+    "integer_dot": integer_dot,
+    "term_max_scores": term_max_scores,
+    "postings_lambda": postings_lambda,
+    "query_cut": query_cut,
+    "brute_topk": brute_topk,
+    "brute_topk_padded": brute_topk_padded,
+    "inverted_topk": inverted_topk,
+    "inverted_top100": inverted_top100,
+    "maxscore_topk": maxscore_topk,
+    "dedupe_topk": dedupe_topk,
+    "score_threshold": score_threshold,
+    "sq_encode_8bit": encoded(Q8),
+    "sq_encode_16bit": encoded(Q16),
+    "sq_decode": sq_decode,
+    "sq_topk_8bit": quantized_topk(Q8),
+    "sq_topk_16bit": quantized_topk(Q16),
+    "cluster_centroids": cluster_centroids,
+    "cluster_assign": cluster_assign,
+    "cluster_sizes": cluster_sizes,
+    "cluster_summary_max": cluster_summary(1.0),
+    "cluster_summary_alpha": cluster_summary(ALPHA),
+    "summary_scores": summary_scores,
+    "clustered_exhaustive_topk": clustered("exhaustive"),
+    "clustered_setwise_topk": clustered("setwise"),
+    "clustered_setwise_filter_topk": clustered("setwise", 1.2, "label NOT IN (1, 3, 5)"),
+    "clustered_sequential_topk": clustered("sequential"),
+    "clustered_sq_topk": clustered_sq_topk,
+    "filter_include_topk": filter_topk(False),
+    "filter_exclude_topk": filter_topk(True),
+    "exact_match_topk": exact_match_topk,
+    "idmap_topk": idmap_topk,
+    "recall_at_k": recall_at_k,
+    "store_roundtrip_topk": store_roundtrip_topk,
+    "index_include_topk": index_include_topk,
+    "doc_lex_topk": doc_lex_topk,
+}
