@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 import zlib
@@ -24,10 +25,13 @@ def fresh(df: DataFrame, base: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is made only where none is configured."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lumenta-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
+
+
+@functools.lru_cache
+def _own_dir(application: str) -> str:
+    """For tests and single machines, where no folder is configured."""
+    return f"file://{tempfile.mkdtemp(prefix='lumenta-')}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
