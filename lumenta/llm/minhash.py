@@ -9,8 +9,9 @@
 4. Buckets whose members are not all in one component may still hide links. Jaccard
    distance is a metric and distances to the hub are known exactly, so members whose
    distances differ by more than the threshold allows cannot be linked; pairs left are
-   compared by signature, block by block, and those that can reach the threshold are
-   confirmed on full sets. Then components are completed.
+   compared by signature, block by block, each in the first bucket that it shares, and
+   those that can reach the threshold are confirmed on full sets on the spot, unless
+   links found before have joined them. Then components are completed.
 
 No pair that shares a bucket is left out but by the metric or by a signature five
 standard deviations low; a linked pair shares no bucket with a probability under
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from lumenta.llm.common import fresh, stored
 
 BANDS, ROWS = 30, 5
-#: Members of one block in the comparison by signature.
-SIDE = 1000
+#: Members, and bytes of their sets, of one side of a block in the comparison by signature.
+SIDE, SIDE_BYTES = 1000, 16 << 20
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -124,6 +125,13 @@ def sets_of(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     return found.select("row", "text").mapInArrow(run, "row long, set binary")
 
 
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets, neither empty."""
+    if len(p) > len(q):
+        p, q = q, p
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, either): sizes of intersection and union for each distinct pair."""
 
@@ -132,9 +140,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             both, either = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                same = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                same = _common(p, q)
                 both.append(same)
                 either.append(len(p) + len(q) - same)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
@@ -174,16 +180,24 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _reaches(x: np.ndarray, y: np.ndarray, least: float, p: np.ndarray, q: np.ndarray, far: float) -> np.ndarray:
-    """Which of the pairs x × y may be linked: by signature, and by their distances p, q to the hub."""
+def _reaches(x: np.ndarray, y: np.ndarray, band: int, least: float) -> np.ndarray:
+    """Which of the pairs x × y can reach the threshold by signature and share no band before this one."""
     same = np.zeros((len(x), len(y)), np.int16)
-    for column in range(x.shape[1]):
-        same += x[:, column, None] == y[None, :, column]
-    return (same >= least) & (np.abs(p[:, None] - q[None, :]) <= far)
+    met = np.zeros((len(x), len(y)), bool)
+    for k in range(BANDS):
+        equal = x[:, k * ROWS : (k + 1) * ROWS, None] == y.T[None, k * ROWS : (k + 1) * ROWS, :]
+        same += equal.sum(axis=1, dtype=np.int16)
+        if k < band:
+            met |= equal.all(axis=1)
+    return (same >= least) & ~met
 
 
 def left_over(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that may be linked, from members (bucket, row, sig, root, away) of buckets of more than one component."""
+    """Links (a, b) between components, from members (bucket, band, row, sig, set, root, away) of buckets that have more than one.
+
+    A pair is looked at in the first bucket that it shares, and not at all if the block's
+    links have joined its components; so a block has fewer links than members.
+    """
     t = percent / 100
     least = (t - 5 * math.sqrt(t * (1 - t) / (BANDS * ROWS))) * BANDS * ROWS
     far = 1 - t + 1e-9
@@ -192,19 +206,41 @@ def left_over(members: DataFrame, percent: int) -> DataFrame:
         own = table.combine_chunks()
         row, root, away, side = (own.column(c).to_numpy() for c in ("row", "root", "away", "side"))
         sig = np.frombuffer(b"".join(own.column("sig").to_pylist()), "<u2").reshape(len(row), -1)
-        i, j = own.column("i")[0].as_py(), own.column("j")[0].as_py()
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in own.column("set")]
+        band, i, j = (own.column(c)[0].as_py() for c in ("band", "i", "j"))
         x, y = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        ok = _reaches(sig[x], sig[y], least, away[x], away[y], far) & (root[x][:, None] != root[y][None, :])
-        if i == j:
-            ok &= row[x][:, None] < row[y][None, :]
-        p, q = np.nonzero(ok)
-        a, b = row[x[p]], row[y[q]]
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+        up: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while (n := up.get(r, r)) != r:
+                r = n
+            return r
+
+        links = []
+        for at in range(0, len(x), 64):
+            part = x[at : at + 64]
+            ok = (np.abs(away[part][:, None] - away[y][None, :]) <= far) & (root[part][:, None] != root[y][None, :])
+            if i == j:
+                ok &= row[part][:, None] < row[y][None, :]
+            if not ok.any():
+                continue
+            ok &= _reaches(sig[part], sig[y], band, least)
+            for p, q in zip(*np.nonzero(ok), strict=True):
+                p, q = part[p], y[q]
+                a, b = top(int(root[p])), top(int(root[q]))
+                if a == b:
+                    continue
+                both = _common(sets[p], sets[q])
+                if both * 100 >= (len(sets[p]) + len(sets[q]) - both) * percent:
+                    up[a] = b
+                    links.append((int(max(row[p], row[q])), int(min(row[p], row[q]))))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / SIDE, F.sum(F.length("set")) / SIDE_BYTES)).cast("int").alias("sides"))
     dealt = members.join(sizes, "bucket").withColumn("side", F.pmod(F.xxhash64("row"), F.col("sides")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-    return dealt.select("bucket", "i", "j", "side", "row", "root", "away", "sig").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return dealt.select("bucket", "band", "i", "j", "side", "row", "root", "away", "sig", "set").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -222,7 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     copies = some.groupBy("d1", "d2").agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     classes = stored(some.join(copies, ["d1", "d2"], "left").select("row", F.coalesce("first", "row").alias("class"), "doc_id", "text_hash", "n"), "classes")
     heads = rows.where("n > 0").join(classes.where("row = class").select("row"), "row", "left_semi")
-    banded = heads.select("row", F.explode("bands").alias("bucket"))
+    banded = heads.select("row", F.posexplode("bands").alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.min("row").alias("hub"), F.max("row").alias("top")).where("hub <> top").drop("top")
     members = stored(banded.join(full, "bucket"), "members")
     pairs = members.where("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()
@@ -232,18 +268,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     checked = stored(confirmed(pairs, sets), "pairs")
     links = checked.where(linked).select("a", "b")
     first = components(links)
-    placed = members.join(first, F.col("row") == F.col("node"), "left").select("bucket", "row", "hub", F.coalesce("root", "row").alias("root"))
+    placed = members.join(first, F.col("row") == F.col("node"), "left").select("bucket", "band", "row", "hub", F.coalesce("root", "row").alias("root"))
     away = checked.select(F.col("a").alias("__a"), F.col("b").alias("__b"), (1 - F.col("both") / F.col("either")).alias("away"))
-    placed = placed.join(away, (F.col("row") == F.col("__a")) & (F.col("hub") == F.col("__b")), "left").select("bucket", "row", "hub", "root", F.coalesce("away", F.lit(0.0)).alias("away"))
+    placed = placed.join(away, (F.col("row") == F.col("__a")) & (F.col("hub") == F.col("__b")), "left").select("bucket", "band", "row", "hub", "root", F.coalesce("away", F.lit(0.0)).alias("away"))
     placed = stored(placed, "placed")
     # the hub's own component, and the nearest member outside it: nearer ones of the component cannot be linked across
     at_hub = placed.where("row = hub").select(F.col("bucket").alias("__k"), F.col("root").alias("__r"))
     sided = placed.join(at_hub, F.col("bucket") == F.col("__k")).withColumn("outside", F.col("root") != F.col("__r"))
     mixed = sided.where("outside").groupBy("bucket").agg(F.min("away").alias("nearest"), F.count("*").alias("n_outside")).withColumnRenamed("bucket", "__k2")
-    open_ = sided.join(mixed, F.col("bucket") == F.col("__k2")).where(F.col("outside") | (F.col("away") >= F.col("nearest") - (1 - percent / 100) - 1e-9)).where("row <> hub").select("bucket", "row", "root", "away")
-    open_ = open_.join(rows.select("row", "sig"), "row")
-    more = stored(left_over(open_, percent), "more")
-    again = confirmed(more, sets).where(linked).select("a", "b")
+    open_ = sided.join(mixed, F.col("bucket") == F.col("__k2")).where(F.col("outside") | (F.col("away") >= F.col("nearest") - (1 - percent / 100) - 1e-9)).where("row <> hub").select("bucket", "band", "row", "root", "away")
+    open_ = stored(open_.join(rows.select("row", "sig"), "row").join(sets, "row"), "open")
+    again = left_over(open_, percent)
     final = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(again))
     rooted = classes.join(final, F.col("class") == F.col("node"), "left").select("row", F.coalesce("root", "class").alias("root"))
     named = rows.select("row", "doc_id", "n", "text_hash").join(rooted, "row", "left").withColumn("root", F.coalesce("root", "row"))
