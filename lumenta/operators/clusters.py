@@ -31,7 +31,7 @@ def assigned(lists: DataFrame, vectors: DataFrame, beta: int) -> DataFrame:
     Pairs are those of a list's postings and centroids: at most lam * beta a term. Inner
     products are found once for each pair of documents, however many lists they share.
     """
-    heads = centroids(lists, beta).cache()
+    heads = centroids(lists, beta)
     others = lists.select("term", "doc_id").join(heads.select("term", "doc_id"), ["term", "doc_id"], "left_anti")
     pairs = others.join(heads.withColumnRenamed("doc_id", "head"), "term")
     unique = pairs.select("doc_id", "head").distinct()

@@ -101,8 +101,10 @@ class Index:
             return replace(self, tables={"postings": lists, "stats": postings.term_stats(lists)})
         p = self.about.clusters.resolved(self.num_vectors())
         kept = postings.pruned(lists, p.lam)
-        members = clusters.assigned(kept, entries, p.beta)
-        return replace(self, tables={"members": members, "summaries": clusters.summaries(members, entries, p.alpha)})
+        from lumenta.plans.store import scratch
+
+        members = scratch(clusters.assigned(kept, entries, p.beta), "members")
+        return replace(self, tables={"members": members, "summaries": scratch(clusters.summaries(members, entries, p.alpha), "summaries")})
 
     def cached(self) -> Index:
         return replace(self, vectors=self.vectors.cache() if self.vectors is not None else None, tables={k: t.cache() for k, t in self.tables.items()})

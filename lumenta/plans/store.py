@@ -7,9 +7,11 @@ skipped. All input and output is Spark's, so any of its file systems will do.
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import asdict
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from lumenta.functions.quantize import Quantizer
 from lumenta.plans.factory import TYPES, Description
@@ -19,6 +21,15 @@ from lumenta.types import ClusterParameters
 ORDER = {"postings": ["term", "doc_id"], "stats": ["term"], "members": ["term", "cluster_id", "doc_id"], "summaries": ["term", "cluster_id", "s_term"]}
 
 
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that all executors share and read again: what is planned on top of it stays small."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def save(index: Index, path: str, mode: str = "errorifexists") -> None:
     about = asdict(index.about) | {"tables": sorted(index.tables), "vectors": index.vectors is not None, "ids": index.ids is not None}
     if index.vectors is not None:

@@ -160,8 +160,8 @@ def cluster_summary(alpha: float) -> Callable:
 
 def built(spark: SparkSession, sf: str, alpha: float = ALPHA) -> tuple[dict[str, DataFrame], DataFrame]:
     e, lists = lists_of(spark, sf)
-    members = clusters.assigned(lists, e, BETA).cache()
-    return {"vectors": e, "members": members, "summaries": clusters.summaries(members, e, alpha).cache()}, batch(e)
+    members = store.scratch(clusters.assigned(lists, e, BETA), "members")
+    return {"vectors": e, "members": members, "summaries": store.scratch(clusters.summaries(members, e, alpha), "summaries")}, batch(e)
 
 
 def summary_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,7 +46,9 @@ def validated(vectors: DataFrame, dim: int, on_duplicate: str = "error", key: st
         at = lambda i, t: F.when(F.get("indices", i) == t, F.get("values", i).cast("double")).otherwise(F.lit(0.0))
         total = F.transform(terms, lambda t: F.aggregate(F.sequence(F.lit(0), F.size("indices") - 1), F.lit(0.0), lambda total, i: total + at(i, t)))
         total = F.when(F.size("indices") > 0, total).otherwise(F.array().cast("array<double>"))
-        good = good.select(key, terms.alias("indices"), total.cast(vectors.schema["values"].dataType).alias("values"))
+        # under other names first: in one select, "indices" would mean the new column
+        summed = good.select(key, terms.alias("__terms"), total.cast(vectors.schema["values"].dataType).alias("__sums"))
+        good = summed.withColumnsRenamed({"__terms": "indices", "__sums": "values"})
     return good
 
 
