@@ -5,11 +5,17 @@ vocabulary start from the scores in its file and are fitted to the distinct word
 the training documents by expectation maximisation, where the E step is the forward
 and backward recursion of lattice.py. A word seen in training also has an edge of its
 own in the lattice, of its count less a discount; what the discounts free is the
-weight of the segmentations into pieces. So word probabilities sum to one, and words
-never seen get theirs from their pieces. Each distinct word is then scored once, and
-documents look their words up: they are dealt to groups of a bounded number of bytes,
-a group asks for each of its distinct words once, and the answers come back to it.
-No vocabulary is collected or broadcast, only piece weights, whose number is fixed.
+weight of the segmentations into pieces, and of words seen elsewhere. So word
+probabilities sum to one, and words never seen get theirs from their pieces.
+
+There is one such model for each class of training documents (their lang, where the
+table has one), and a text's probability is also summed over the classes: a text's own
+class is never looked at.
+
+Each distinct word is scored once, and documents look their words up: they are dealt to
+groups of a bounded number of bytes, a group asks for each of its distinct words once,
+and the answers come back to it. No vocabulary is collected or broadcast, only piece
+weights, whose number is fixed.
 """
 
 from __future__ import annotations
@@ -33,6 +39,10 @@ GROUP_BYTES = 24 << 20
 WORDS_HELD = 400_000
 ROUNDS = 2
 SMOOTH = 0.01
+#: Classes with a model of their own at most, the largest; other training documents form one more.
+CLASSES = 12
+#: The part of a class's unseen words that words seen in other classes get.
+ELSEWHERE = 0.3
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,106 +50,127 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, count, documents): words with their count in training rows, 0 if only others have them; the null word has the number of training rows.
+def word_counts(docs: DataFrame, classes: int) -> DataFrame:
+    """(word, n0, n1, ...): each word's count in the training rows of each class; the null word has the numbers of rows.
 
-    docs: (text, train boolean).
+    docs: (text, class int), class null for rows that are not learned from.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-        ends = 0
+        seen: dict[int, Counter] = {k: Counter() for k in range(-1, classes)}
+        ends = [0] * classes
 
-        def out() -> pa.RecordBatch:
-            words = [*seen[True], *(w for w in seen[False] if w not in seen[True])]
-            counts = [seen[True].get(w, 0) for w in words]
-            seen[True].clear()
-            seen[False].clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["word", "count"])
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            word, kind, n = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()).cast(pa.string()), pa.array(kind, pa.int32()), pa.array(n, pa.int64())], names=["word", "class", "n"])
+
+        def flush() -> pa.RecordBatch:
+            rows = [(w, k, n if k >= 0 else 0) for k, c in seen.items() for w, n in c.items()]
+            for c in seen.values():
+                c.clear()
+            return out(rows)
 
         for batch in batches:
-            for text, train in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen[bool(train)].update(words_of(text.as_py()))
-                ends += bool(train)
-                if len(seen[True]) + len(seen[False]) > WORDS_HELD:
-                    yield out()
-        yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([ends], pa.int64())], names=["word", "count"])
+            for text, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                k = -1 if k is None else k
+                seen[k].update(words_of(text.as_py()))
+                if k >= 0:
+                    ends[k] += 1
+                if sum(map(len, seen.values())) > WORDS_HELD:
+                    yield flush()
+        yield flush()
+        yield out([(None, k, n) for k, n in enumerate(ends)])
 
-    return docs.select("text", "train").mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    parts = docs.select("text", "class").mapInArrow(run, "word string, class int, n long")
+    return parts.groupBy("word").agg(*[F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(classes)])
 
 
-def fit(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log weights (pieces, 1) fitted to the distinct words of (word, count); the driver sees one number for each piece.
+def fit(words: DataFrame, classes: int, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Log weights (pieces, classes) fitted to each class's distinct words; the driver sees one number for each piece and class.
 
     Distinct words and not running ones, since pieces have to spell the words that training has not seen.
     """
     model = lattice.lattice(vocabulary)
-    logp = model.prior()[:, None]
+    logp = np.repeat(model.prior()[:, None], classes, axis=1)
+    names = [f"n{k}" for k in range(classes)]
+    learned = words.where(F.col("word").isNotNull() & (F.greatest(F.lit(0), *names) > 0))
     for _ in range(rounds):
 
         def run(frames: Iterator[pd.DataFrame], logp: np.ndarray = logp) -> Iterator[pd.DataFrame]:
-            total = None
+            total = np.zeros(logp.shape)
             for f in lattice.gathered(frames):
-                part = lattice.lattice(vocabulary).expected(f["word"].tolist(), np.ones((len(f), 1)), logp)[:, 0]
-                total = part if total is None else total + part
-            if total is not None:
-                found = np.flatnonzero(total)
-                yield pd.DataFrame({"piece": found, "expected": total[found]})
-
-        counts = np.zeros((model.size, 1))
-        for piece, n in words.where("word IS NOT NULL AND count > 0").select("word").mapInPandas(run, "piece int, expected double").groupBy("piece").agg(F.sum("expected")).collect():
-            counts[piece, 0] = n
+                total += lattice.lattice(vocabulary).expected(f["word"].tolist(), (f[names].to_numpy() > 0).astype(float), logp)
+            piece, kind = np.nonzero(total)
+            yield pd.DataFrame({"piece": piece, "class": kind, "expected": total[piece, kind]})
+
+        counts = np.zeros((model.size, classes))
+        for piece, kind, n in learned.mapInPandas(run, "piece int, class int, expected double").groupBy("piece", "class").agg(F.sum("expected")).collect():
+            counts[piece, kind] = n
         logp = lattice.normalised(counts, SMOOTH)
     return logp
 
 
 class Weights:
-    """How much of a token is the end, a word's own edge, or its pieces.
+    """How much of a class's token is the end, a word's own edge, or its pieces.
 
-    n: training tokens, of which ends are ends; types: distinct words; once and twice:
-    how many came once and twice, which gives the discount by the Good-Turing ratio.
+    For each class: ends, running words, distinct words, and how many came once and twice,
+    which gives the discount by the Good-Turing ratio.
     """
 
-    def __init__(self, n: int, ends: int, types: int, once: int, twice: int) -> None:
-        self.end, self.words = (ends + 0.5) / (n + 1), n - ends
-        self.discount = once / (once + 2 * twice) if once and twice else 0.5
-        self.pieces = self.discount * types / self.words if self.words else 1.0
+    def __init__(self, ends: np.ndarray, words: np.ndarray, types: np.ndarray, once: np.ndarray, twice: np.ndarray) -> None:
+        self.prior = np.log10((ends + 1) / (ends + 1).sum())
+        self.end = (ends + 0.5) / (ends + words + 1)
+        self.words, self.total = np.maximum(words, 1), max(1, words.sum())
+        self.discount = np.where((once > 0) & (twice > 0), once / np.maximum(1, once + 2 * twice), 0.5)
+        self.rest = np.where(words > 0, self.discount * types / self.words, 1.0)
+        self.elsewhere = ELSEWHERE if words.sum() else 0.0
 
     def log10(self, count: np.ndarray, lp: np.ndarray) -> np.ndarray:
-        """Words' log10 probabilities from their training counts and their pieces' natural log marginals."""
-        own = np.maximum(count - self.discount, 0) / max(1, self.words)
+        """Words' log10 probabilities (n, classes) from their training counts and their pieces' natural log marginals."""
+        own = np.maximum(count - self.discount, 0) / self.words + self.rest * self.elsewhere * count.sum(axis=1, keepdims=True) / self.total
         with np.errstate(divide="ignore"):
-            return (np.logaddexp(np.log(own), math.log(self.pieces) + lp) + math.log(1 - self.end)) / math.log(10)
+            return (np.logaddexp(np.log(own), np.log(self.rest * (1 - self.elsewhere)) + lp) + np.log(1 - self.end)) / math.log(10)
 
 
-def score(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None = None, rounds: int = ROUNDS, kind: str = "lang") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     train says which rows are learned from; by default those whose CRC-32 of the id as
     text isn't 0 modulo 10. A text's tokens are its words and one end. base_score is the
-    smoothed word unigram's log10 probability; score is that of the pieces' lattice. Null
+    smoothed word unigram's log10 probability; score is that of the pieces' lattices.
+    Classes are the values of kind, if docs has that column; null is one of them. Null
     texts count as empty: an end alone. Repeated rows are scored each; extra columns are
     dropped; an empty table gives an empty one; without training rows only the
     vocabulary's own scores count, and an end is as likely as not.
     """
     path = vocabulary or lattice.vocabulary()
     train = (id_crc(F.col("doc_id")) % 10 != 0) if train is None else train
-    rows = docs.select("doc_id", "text", train.alias("train"))
-    counted = stored(word_counts(rows), "words")
+    label = F.col(f"`{kind}`").cast("string") if kind in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("doc_id", "text", train.alias("train"), label.alias("kind"))
+    known = [r[0] for r in rows.where("train").groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(CLASSES + 1).collect()]
+    classes = max(1, len(known))
+    number = F.coalesce(*[F.when(F.col("kind").eqNullSafe(F.lit(v)), F.lit(i)) for i, v in enumerate(known[:CLASSES])], F.lit(classes - 1))
+    rows = rows.select("doc_id", "text", "train", F.when(F.col("train"), number).alias("class"))
+    counted = stored(word_counts(rows, classes), "words")
+    names = [f"n{k}" for k in range(classes)]
+    word, every = F.col("word").isNotNull(), sum((F.col(c) for c in names[1:]), F.col(names[0]))
     totals = counted.agg(
-        F.sum("count").alias("n"), F.sum(F.when(F.col("count") > 0, 1)).alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("count"))).alias("ends"),
-        *[F.count_if(F.col("word").isNotNull() & (F.col("count") == k)).alias(f"c{k}") for k in (1, 2)],
+        F.count_if(word & (every > 0)), *[F.coalesce(F.sum(F.when(~word, F.col(c))), F.lit(0)) for c in names], *[F.coalesce(F.sum(F.when(word, F.col(c))), F.lit(0)) for c in names],
+        *[F.count_if(word & (F.col(c) > 0)) for c in names], *[F.count_if(word & (F.col(c) == k)) for k in (1, 2) for c in names],
     ).first()
-    n, v, ends, once, twice = (int(x or 0) for x in totals)
-    weights = Weights(n, ends, v - (ends > 0), once, twice)
-    logp = fit(counted, path, rounds)
+    ends, words, types, once, twice = np.array([int(x or 0) for x in totals[1:]], float).reshape(5, classes)
+    weights = Weights(ends, words, types, once, twice)
+    n_ends = int(ends.sum())
+    n, v = int(words.sum()) + n_ends, int(totals[0]) + (n_ends > 0)
+    logp = fit(counted, classes, path, rounds)
 
     def marginal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in lattice.gathered(frames):
-            yield f.assign(lp=weights.log10(f["count"].to_numpy(float), lattice.lattice(path).score(f["word"].tolist(), logp)[:, 0]))
+            count = f[names].to_numpy(float)
+            lp = weights.log10(count, lattice.lattice(path).score(f["word"].tolist(), logp))
+            yield pd.DataFrame({"word": f["word"], "count": count.sum(axis=1).astype(np.int64), "lp": list(lp.astype(np.float32))})
 
-    table = counted.where("word IS NOT NULL").mapInPandas(marginal, "word string, count long, lp double")
+    table = counted.where(word).mapInPandas(marginal, "word string, count long, lp array<float>")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text", "train")
@@ -153,24 +184,25 @@ def score(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None
     asked = dealt.groupBy("g").applyInArrow(ask, "g int, word string")
     answers = asked.join(table, "word").select("g", "word", "count", "lp")
     floor, below = 0.1, n + 0.1 * (v + 1)
-    end_base, end_lp = math.log10((ends + floor) / below), math.log10(weights.end)
+    end_base, end_lp = math.log10((n_ends + floor) / below), weights.prior + np.log10(weights.end)
 
     def join(own: pa.Table, found: pa.Table) -> pa.Table:
         words = {w: i for i, w in enumerate(found.column("word").cast(pa.binary()).to_pylist())}
-        count, lp = found.column("count").to_numpy(), found.column("lp").to_numpy()
+        count = found.column("count").to_numpy()
+        lp = found.column("lp").combine_chunks().flatten().to_numpy().reshape(-1, classes)
         base = np.log10((count + floor) / below)
         known = count > 0
         tokens, seen, first, second = [], [], [], []
         for text in own.column("text"):
             at = np.fromiter(map(words.__getitem__, words_of(text.as_py())), np.int64)
             tokens.append(len(at) + 1)
-            seen.append(int(known[at].sum()) + (ends > 0))
+            seen.append(int(known[at].sum()) + (n_ends > 0))
             first.append(float(base[at].sum()) + end_base)
-            second.append(float(lp[at].sum()) + end_lp)
+            second.append(float(np.logaddexp.reduce((lp[at].sum(axis=0, dtype=np.float64) + end_lp) * math.log(10)) / math.log(10)))
         return pa.table({
             "doc_id": own.column("doc_id"), "held_out": pa.array([not x for x in own.column("train").to_pylist()], pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()),
             "train_tokens": pa.array([n] * len(tokens), pa.int64()), "base_score": pa.array(first, pa.float64()), "score": pa.array(second, pa.float64()),
         })
 
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(join, kind)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(join, schema)

@@ -28,7 +28,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(documents(spark, sf_dir).select("doc_id", "text"))
+    return lm_scoring.score(documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

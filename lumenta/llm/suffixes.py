@@ -220,13 +220,14 @@ def _ends(table: pa.Table) -> pa.Table:
     """Intervals of repeated windows in the open units of a shard."""
     spans, ats = list(_bytes(table.column("span"))), [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("at")]
     hashes = [rolling(x, DEPTH)[a] for x, a in zip(spans, ats, strict=True)]
-    every = np.sort(np.concatenate(hashes))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    every = np.concatenate(hashes)
+    _, which, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = np.split(count[which] > 1, np.cumsum([len(h) for h in hashes])[:-1])
     family, owners, places = Family(), [], []
     for lo in range(0, len(spans), BATCH):
         windows = []
         for i in range(lo, min(len(spans), lo + BATCH)):
-            keep = np.isin(hashes[i], twice, kind="sort") if len(twice) else np.zeros(len(hashes[i]), bool)
+            keep = shared[i]
             if keep.any():
                 at = ats[i][keep]
                 windows.append(np.lib.stride_tricks.sliding_window_view(spans[i], DEPTH)[at])
@@ -290,8 +291,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     answers = asked.groupBy("bucket").applyInArrow(_answer, "g int, found binary").where(F.length("found") > 0)
     found = own.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_candidates, "g int, row long, s long, e long, h long, k1 long, k2 long")
     seen = stored(found.withColumn("unit", F.monotonically_increasing_id()), "units")
-    counts = seen.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("unit").alias("first"))
-    placed = stored(seen.join(counts, ["k1", "k2"]).select("g", "row", "s", "e", "h", "n", (F.col("unit") == F.col("first")).alias("first")), "placed")
+    # written first, so that the join has a plain exchange on both sides and a frequent key's rows can be split
+    counts = stored(seen.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("unit").alias("first")).where("n > 1"), "counts")
+    joined = seen.join(counts, ["k1", "k2"], "left")
+    placed = stored(joined.select("g", "row", "s", "e", "h", F.coalesce("n", F.lit(1)).alias("n"), (F.col("unit") == F.coalesce("first", "unit")).alias("first")), "placed")
     distinct = placed.where("first").select("g", "row", "s", "e", "h", (F.col("n") == 1).alias("open"))
     anchors = distinct.groupBy("h").agg(F.count("*").alias("m"), F.max("open").alias("some")).where("m > 1 AND some").drop("some")
     wanted = distinct.join(anchors, "h").select("g", "row", "s", "e", "h", "m", "open")

@@ -59,29 +59,51 @@ def test_long_words_roll(model):
     assert math.isclose(model.score([word], logp)[0, 0], model._forward(np.array([[ord(c) for c in lattice.BEGIN + word]], np.uint32), np.vstack([logp, [[-np.inf]]]))[-1][0, 0], rel_tol=1e-9)
 
 
-def test_lm_against_brute_force(spark, model):
+@pytest.mark.parametrize("kinds", [None, 2, 5])
+def test_lm_against_brute_force(spark, model, kinds, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CLASSES", 3)
     rng = random.Random(4)
     pool = ["The", "the", "of", "straße", "x1", "erheing", "ÉTÉ", "日本"] + [f"w{i}" for i in range(30)]
-    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))) for i in range(300)] + [(300, "novel unseen")]
-    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    rows = []
+    for i in range(300):
+        k = rng.choice([None, *range(kinds)]) if kinds else None
+        rows.append((i, " ".join(rng.choice(pool[(k or 0) * 3 :]) for _ in range(rng.randint(0, 40))), k))
+    rows.append((300, "novel unseen", None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang int").repartition(3)
+    got = {r.doc_id: r for r in lm_scoring.score(df if kinds else df.drop("lang")).collect()}
     low = lambda t: t.translate({i: i + 32 for i in range(65, 91)}).split()
-    train = Counter()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 10:
-            train.update([*low(t), None])
-    n, v = sum(train.values()), len(train)
-    logp = model.prior()[:, None]
-    known = [w for w in train if w]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 10]
+    order = sorted(Counter(r[2] for r in learned).items(), key=lambda x: (-x[1], x[0] is not None, str(x[0])))
+    names = [k for k, _ in order][:4]
+    of = {k: min(i, len(names) - 1) for i, (k, _) in enumerate(order)}
+    train = [Counter() for _ in names]
+    for _, t, k in learned:
+        train[of[k]].update([*low(t), None])
+    every = sum(train, Counter())
+    n, v = sum(every.values()), len(every)
+    words = [w for w in every if w]
+    logp = np.repeat(model.prior()[:, None], len(names), axis=1)
     for _ in range(lm_scoring.ROUNDS):
-        logp = lattice.normalised(model.expected(known, np.ones((len(known), 1)), logp), lm_scoring.SMOOTH)
-    once, twice = (sum(train[w] == k for w in known) for k in (1, 2))
-    d, words, end = once / (once + 2 * twice) if once and twice else 0.5, n - train[None], (train[None] + 0.5) / (n + 1)
-    chance = lambda w: (1 - end) * (max(train[w] - d, 0) / words + d * len(known) / words * math.exp(model.score([w], logp)[0, 0]))
-    for i, t in rows:
+        logp = lattice.normalised(model.expected(words, np.array([[float(c[w] > 0) for c in train] for w in words]), logp), lm_scoring.SMOOTH)
+
+    def chance(k, w):
+        c, own = train[k], [x for x in train[k] if x]
+        total, once, twice = sum(c[x] for x in own), sum(c[x] == 1 for x in own), sum(c[x] == 2 for x in own)
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        pieces = math.exp(model.score([w], logp)[0, k])
+        spread = 0.3 * every[w] / (n - every[None]) + 0.7 * pieces
+        return (1 - (c[None] + 0.5) / (c[None] + total + 1)) * (max(c[w] - d, 0) + d * len(own) * spread) / total
+
+    for i, t, _ in rows:
         own, r = [*low(t), None], got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(own), sum(train[w] > 0 for w in own), n)
-        assert math.isclose(r.base_score, sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(chance(w)) for w in low(t)) + math.log10(end), rel_tol=1e-6)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(own), sum(every[w] > 0 for w in own), n)
+        assert math.isclose(r.base_score, sum(math.log10((every[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), rel_tol=1e-9)
+        parts = []
+        for k, c in enumerate(train):
+            total = sum(c.values())
+            lp = math.log((c[None] + 1) / (every[None] + len(train))) + math.log((c[None] + 0.5) / (total + 1))
+            parts.append(lp + sum(math.log(chance(k, w)) for w in low(t)))
+        assert math.isclose(r.score, np.logaddexp.reduce(parts) / math.log(10), rel_tol=1e-5)
 
 
 def test_lm_odd_rows(spark, odd, none):
