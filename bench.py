@@ -28,7 +28,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from lumenta import queries as q
     from lumenta.operators import clusters, postings, search
-    from lumenta.plans import store
+    from lumenta.scratch import scratch
     from lumenta.types import SearchParameters
 
     times: dict[str, float] = {}
@@ -42,15 +42,15 @@ def main() -> None:
         return df
 
     began = time.time()
-    entries = store.scratch(q.embeddings(spark, SF_DIR).sort("doc_id"), "bench-vectors")
+    entries = scratch(q.embeddings(spark, SF_DIR).sort("doc_id"), "bench-vectors")
     times["load"] = round(time.time() - began, 3)
     began = time.time()
-    members = store.scratch(clusters.assigned(postings.pruned(entries, LAM), entries, BETA), "bench-members")
-    summaries = store.scratch(clusters.summaries(members, entries, ALPHA), "bench-summaries")
+    members = scratch(clusters.assigned(postings.pruned(entries, LAM), entries, BETA), "bench-members")
+    summaries = scratch(clusters.summaries(members, entries, ALPHA), "bench-summaries")
     times["build_clusters"] = round(time.time() - began, 3)
     began = time.time()
-    codes = store.scratch(entries.withColumn("value", q.Q8.encode(F.col("value"))), "bench-codes")
-    stats = store.scratch(postings.term_stats(entries), "bench-stats")
+    codes = scratch(entries.withColumn("value", q.Q8.encode(F.col("value"))), "bench-codes")
+    stats = scratch(postings.term_stats(entries), "bench-stats")
     times["build_codes"] = round(time.time() - began, 3)
     batch = q.batch(entries)
     code_batch = batch.withColumn("weight", q.Q8.encode(F.col("weight")))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenta.operators import clusters, postings, score, topk
+from lumenta.scratch import scratch
 from lumenta.types import SearchParameters
 
 
@@ -42,10 +43,10 @@ def maxscore(lists: DataFrame, stats: DataFrame, queries: DataFrame, k: int) ->
     bound = queries.join(stats, "term").withColumn("bound", F.col("weight") * F.col("max_value"))
     rising = W.partitionBy("qid").orderBy("bound", "term")
     ranked = bound.select("qid", "term", "weight", "bound", F.sum("bound").over(rising).alias("up_to"), F.row_number().over(W.partitionBy("qid").orderBy(F.desc("bound"), "term")).alias("nth"))
-    ranked = ranked.cache()
+    ranked = scratch(ranked, "bounds")
     first = ranked.where("nth = 1").select("qid", "term", "weight")
     seeds = topk.top_k(score.products(lists, first), k).select("qid", "doc_id")
-    theta = topk.thresholds(score.of_candidates(lists, queries, seeds), k)
+    theta = scratch(topk.thresholds(score.of_candidates(lists, queries, seeds), k), "theta")
     essential = ranked.join(theta, "qid", "left").where(F.col("up_to") >= F.coalesce("theta", F.lit(0.0)) - 1e-5).select("qid", "term")
     candidates = essential.join(lists, "term").select("qid", "doc_id").distinct()
     return topk.top_k(topk.rounded(score.of_candidates(lists, queries, candidates)).where("score > 0"), k)
@@ -83,8 +84,10 @@ def clustered(index: dict[str, DataFrame], queries: DataFrame, k: int, params: S
     if params.mode == "exhaustive":
         candidates = cut.select("qid", "term").join(members, "term").select("qid", "doc_id").distinct()
         return topk.top_k(topk.rounded(score.of_candidates(index["vectors"], queries, candidates, integer=integer)), k)
-    scored = clusters.summary_scores(cut, queries, index["summaries"]).cache()
-    return topk.top_k(topk.rounded(score.of_candidates(index["vectors"], queries, surviving(scored, cut, members, index["vectors"], queries, k, params.heap_factor, integer), integer=integer)), k)
+    # both are small next to the index, and written so that the threshold is found once
+    scored = scratch(clusters.summary_scores(cut, queries, index["summaries"]), "summary-scores")
+    candidates = scratch(surviving(scored, cut, members, index["vectors"], queries, k, params.heap_factor, integer), "candidates")
+    return topk.top_k(topk.rounded(score.of_candidates(index["vectors"], queries, candidates, integer=integer)), k)
 
 
 def surviving(scored: DataFrame, cut: DataFrame, members: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, heap_factor: float, integer: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lumenta.functions.quantize import Quantizer
 from lumenta.operators import clusters, idmap, postings, score, search, topk
 from lumenta.plans.factory import Description, parse
+from lumenta.scratch import scratch
 from lumenta.sources import vectors as sources
 from lumenta.types import PAD_ID, PAD_SCORE, SearchParameters, check_k
 
@@ -101,8 +102,6 @@ class Index:
             return replace(self, tables={"postings": lists, "stats": postings.term_stats(lists)})
         p = self.about.clusters.resolved(self.num_vectors())
         kept = postings.pruned(lists, p.lam)
-        from lumenta.plans.store import scratch
-
         members = scratch(clusters.assigned(kept, entries, p.beta), "members")
         return replace(self, tables={"members": members, "summaries": scratch(clusters.summaries(members, entries, p.alpha), "summaries")})
 

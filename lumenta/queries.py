@@ -17,6 +17,7 @@ from lumenta.operators import clusters, idmap, postings, score, search, topk
 from lumenta.oracle import SQL
 from lumenta.plans import store
 from lumenta.plans.index import Selector, index_factory
+from lumenta.scratch import scratch
 from lumenta.sources import vectors as sources
 from lumenta.types import SearchParameters
 
@@ -160,8 +161,8 @@ def cluster_summary(alpha: float) -> Callable:
 
 def built(spark: SparkSession, sf: str, alpha: float = ALPHA) -> tuple[dict[str, DataFrame], DataFrame]:
     e, lists = lists_of(spark, sf)
-    members = store.scratch(clusters.assigned(lists, e, BETA), "members")
-    return {"vectors": e, "members": members, "summaries": store.scratch(clusters.summaries(members, e, alpha), "summaries")}, batch(e)
+    members = scratch(clusters.assigned(lists, e, BETA), "members")
+    return {"vectors": e, "members": members, "summaries": scratch(clusters.summaries(members, e, alpha), "summaries")}, batch(e)
 
 
 def summary_scores(spark: SparkSession, sf: str) -> DataFrame:
