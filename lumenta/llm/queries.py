@@ -52,7 +52,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
+    rows = merkle.edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.withColumn("edited_sections", F.array_join(F.col("edited_sections").cast("array<string>"), ","))
 
 
 OP1_SQL = r"""
@@ -97,7 +98,7 @@ out AS (SELECT *, list_transform(fl, lambda t: list_distinct(t)) AS ds,
 SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edit) AS edited_sha256, fps[1] AS fingerprint, fps[2] AS edited_fingerprint,
   CASE WHEN rs[1] = rs[2] THEN 1.0 WHEN greatest(len(ds[1]), len(ds[2])) = 0 THEN 0.0 ELSE len(list_intersect(ds[1], ds[2]))::DOUBLE / greatest(len(ds[1]), len(ds[2])) END::DOUBLE AS near_edited,
   CASE WHEN rs[1] = rs[3] THEN 1.0 WHEN greatest(len(ds[1]), len(ds[3])) = 0 THEN 0.0 ELSE len(list_intersect(ds[1], ds[3]))::DOUBLE / greatest(len(ds[1]), len(ds[3])) END::DOUBLE AS near_next,
-  list_filter(range(greatest(len(ss[1]), len(ss[2]))), lambda i: ss[1][i + 1] IS DISTINCT FROM ss[2][i + 1])::INTEGER[] AS edited_sections
+  coalesce(array_to_string(list_filter(range(greatest(len(ss[1]), len(ss[2]))), lambda i: ss[1][i + 1] IS DISTINCT FROM ss[2][i + 1]), ','), '') AS edited_sections
 FROM out
 """
 
