@@ -85,6 +85,18 @@ SELECT c.doc_id, coalesce(len(c.ls), 0)::BIGINT AS n_lines, coalesce(len(g.lines
 FROM cut c LEFT JOIN gathered g ON c.doc_id = g.doc_id
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT i.a, i.b FROM both_ i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least.component_id, w.doc_id = least.component_id AS kept FROM w JOIN least ON least.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
 OP10_SQL = r"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 chained AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, text), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text)) AS nxt FROM base),
@@ -103,4 +115,4 @@ FROM out
 """
 
 QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_pack_sequences": op2_pack_sequences, "op3_line_dedup": op3_line_dedup, "op4_media": op4_media, "op5_lm_scores": op5_lm_scores, "op6_language_id": op6_language_id, "op7_repeated_strings": op7_repeated_strings, "op8_near_duplicates": op8_near_duplicates, "op9_token_counts": op9_token_counts, "op10_fingerprints": op10_fingerprints}
-SQL = {"op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op10_fingerprints": OP10_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op10_fingerprints": OP10_SQL}
