@@ -224,11 +224,21 @@ def test_store(spark, docs, kind, tmp_path):
     q = docs({0: 1, 1: 0.8}, {3: 1}, key="qid")
     assert back.about == index.about and back.num_vectors() == 6 and back.element_size() == (1 if "sq" in kind else 4)
     assert hits(back.search(q, 4)) == hits(index.search(q, 4))
-    spark.createDataFrame([('{"kind": "none", "tables": [], "vectors": false, "ids": false}',)], "value string").coalesce(1).write.mode("overwrite").text(str(tmp_path / "i/manifest"))
+    spark.createDataFrame([('{"kind": "none", "tables": [], "vectors": 0, "ids": false}',)], "value string").coalesce(1).write.mode("overwrite").text(str(tmp_path / "i/manifest"))
     with pytest.raises(ValueError):
         store.load(spark, str(tmp_path / "i"))
 
 
+def test_saved_vectors_are_scored_where_they_lie(spark, docs, tmp_path):
+    store.save(index_factory(spark, 8, "brutal").add(docs(*SIX)), str(tmp_path / "i"), buckets=3)
+    back = store.load(spark, str(tmp_path / "i"))
+    q = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.8)], "qid long, term int, weight double")
+    scored = score.products(back.entries(), q)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert {r.doc_id: round(r.score, 4) for r in scored.collect()} == {0: 1.4, 1: 0.9, 2: 0.64, 5: 0.1}
+
+
 def test_csr_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(csr_file, "ROWS", 2)
     path = str(tmp_path / "x.csr")
