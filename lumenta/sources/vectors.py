@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenta.scratch import scratch
 from lumenta.types import MAX_DIM
 
 
@@ -82,7 +83,9 @@ def lexical(documents: DataFrame, key: str, text: str, dictionary: DataFrame | N
     if dictionary is None:
         from pyspark.sql import Window as W
 
+        counts = scratch(counts, "token-counts")  # read twice
         frequent = counts.groupBy("token").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "token").limit(MAX_DIM)
-        dictionary = frequent.select("token", (F.row_number().over(W.orderBy(F.desc("df"), "token")) - 1).alias("term"))
-    weighted = counts.join(dictionary, "token").select(key, "term", F.log1p("tf").alias("value"))
+        dictionary = scratch(frequent.select("token", (F.row_number().over(W.orderBy(F.desc("df"), "token")) - 1).alias("term")), "dictionary")
+    # the dictionary has no more rows than the largest dimension
+    weighted = counts.join(F.broadcast(dictionary), "token").select(key, "term", F.log1p("tf").alias("value"))
     return weighted, dictionary
