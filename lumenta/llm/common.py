@@ -45,6 +45,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def redealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df with its long keys computed anew (x ^ 0), for a join with the rows that df was aggregated from.
+
+    Else the join takes over the aggregate's partitioning, and all rows of a frequent key
+    meet in one task. So both sides get an exchange of their own, which adaptive execution
+    can split.
+    """
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

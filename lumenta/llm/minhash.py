@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import fresh, stored
+from lumenta.llm.common import fresh, redealt, stored
 
 BANDS, ROWS = 30, 5
 #: Members, and bytes of their sets, of one side of a block in the comparison by signature.
@@ -160,7 +160,7 @@ def components(links: DataFrame) -> DataFrame:
 
     def stars(both: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.join(least, "u")
+        return both.join(redealt(least, "u"), "u")
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -238,7 +238,7 @@ def left_over(members: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / SIDE, F.sum(F.length("set")) / SIDE_BYTES)).cast("int").alias("sides"))
-    dealt = members.join(sizes, "bucket").withColumn("side", F.pmod(F.xxhash64("row"), F.col("sides")).cast("int"))
+    dealt = members.join(redealt(sizes, "bucket"), "bucket").withColumn("side", F.pmod(F.xxhash64("row"), F.col("sides")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
     return dealt.select("bucket", "band", "i", "j", "side", "row", "root", "away", "sig", "set").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -256,11 +256,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = described(docs, k)
     some = rows.where("n > 0")
     copies = some.groupBy("d1", "d2").agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    classes = stored(some.join(copies, ["d1", "d2"], "left").select("row", F.coalesce("first", "row").alias("class"), "doc_id", "text_hash", "n"), "classes")
+    classes = stored(some.join(redealt(copies, "d1", "d2"), ["d1", "d2"], "left").select("row", F.coalesce("first", "row").alias("class"), "doc_id", "text_hash", "n"), "classes")
     heads = rows.where("n > 0").join(classes.where("row = class").select("row"), "row", "left_semi")
     banded = heads.select("row", F.posexplode("bands").alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.min("row").alias("hub"), F.max("row").alias("top")).where("hub <> top").drop("top")
-    members = stored(banded.join(full, "bucket"), "members")
+    members = stored(banded.join(redealt(full, "bucket"), "bucket"), "members")
     pairs = members.where("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()
     needed = classes.join(members.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "text_hash")
     sets = stored(sets_of(docs, needed, k).dropDuplicates(["row"]), "sets")
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rooted = classes.join(final, F.col("class") == F.col("node"), "left").select("row", F.coalesce("root", "class").alias("root"))
     named = rows.select("row", "doc_id", "n", "text_hash").join(rooted, "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "root")
+    out = named.join(redealt(least, "root"), "root")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", F.col("root").alias("component"))
 
 
