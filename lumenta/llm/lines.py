@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import fresh, stored
+from lumenta.llm.common import fresh, redealt, stored
 
 WINDOW = 3
 
@@ -39,7 +39,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("place"))
     firsts = windows.groupBy("k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = firsts.select("k1", "k2", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
-    later = windows.join(firsts, ["k1", "k2"]).where("row <> first_row OR place <> first_place")
+    later = windows.join(redealt(firsts, "k1", "k2"), ["k1", "k2"]).where("row <> first_row OR place <> first_place")
     marks = later.groupBy("row").agg(F.collect_list("place").alias("places")).withColumnsRenamed({"row": at, "places": gone})
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(gone, lambda p: F.sequence(p, p + window - 1)))))
     joined = own.join(marks, F.col(row) == F.col(at), "left").withColumn(gone, F.when(F.col(gone).isNotNull(), covered)).withColumn(lines, F.split("text", "\n", -1))
