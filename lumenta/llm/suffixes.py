@@ -283,7 +283,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-size // GROUP_BYTES))
+    groups = max(parts(spark), -(-size // GROUP_BYTES))
     buckets = max(parts(spark), -(-size // (BUCKET * (DEPTH - GRAM) // 2)))
     dealt = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"))
     own = bucketed(dealt, "g", "texts")
