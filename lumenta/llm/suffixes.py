@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import bucketed, parts, stored
+from lumenta.llm.common import bucketed, parts, redealt, stored
 
 DEPTH = 200
 GRAM = DEPTH // 2
@@ -297,7 +297,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     placed = stored(joined.select("g", "row", "s", "e", "h", F.coalesce("n", F.lit(1)).alias("n"), (F.col("unit") == F.coalesce("first", "unit")).alias("first")), "placed")
     distinct = placed.where("first").select("g", "row", "s", "e", "h", (F.col("n") == 1).alias("open"))
     anchors = distinct.groupBy("h").agg(F.count("*").alias("m"), F.max("open").alias("some")).where("m > 1 AND some").drop("some")
-    wanted = distinct.join(anchors, "h").select("g", "row", "s", "e", "h", "m", "open")
+    wanted = distinct.join(redealt(anchors, "h"), "h").select("g", "row", "s", "e", "h", "m", "open")
     shards = max(parts(spark), -(-placed.where("first AND n = 1").count() // SHARD))
     spans = own.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_spans(shards), "g int, shard long, row long, s long, open boolean, span binary, at binary")
     ends = spans.groupBy("shard").applyInArrow(_ends, "g int, row long, lo long, hi long")
