@@ -54,26 +54,30 @@ class Lattice:
 
     def _build(self) -> None:
         """A hash table of the pieces with linear probing, so that whole arrays are looked up at once."""
-        self.keys, self.values, self.probes = np.zeros(1 << _BITS, np.uint64), np.full(1 << _BITS, -1, np.int32), 1
+        self.keys, self.values = np.zeros(1 << _BITS, np.uint64), np.full(1 << _BITS, -1, np.int32)
         with np.errstate(over="ignore"):
             for piece, i in self.ids.items():
                 h = np.uint64(0)
                 for c in piece:
                     h = h * _MULTIPLIER + np.uint64(ord(c) + 1)
-                at, tried = int(h * _SPREAD >> np.uint64(64 - _BITS)), 1
+                at = int(h * _SPREAD >> np.uint64(64 - _BITS))
                 while self.values[at] >= 0:
                     if self.keys[at] == h:
                         raise ValueError("two pieces have one hash")
-                    at, tried = (at + 1) % (1 << _BITS), tried + 1
+                    at = (at + 1) % (1 << _BITS)
                 self.keys[at], self.values[at] = h, i
-                self.probes = max(self.probes, tried)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         at = (h * _SPREAD >> np.uint64(64 - _BITS)).astype(np.int64)
-        found = np.where(self.keys[at] == h, self.values[at], -1)
-        for _ in range(self.probes - 1):
-            at = (at + 1) & ((1 << _BITS) - 1)
-            found = np.where((found < 0) & (self.keys[at] == h), self.values[at], found)
+        held = self.values[at]
+        found = np.where(self.keys[at] == h, held, -1)
+        rest = np.flatnonzero((found < 0) & (held >= 0))  # places that another piece holds
+        while len(rest):
+            at[rest] = (at[rest] + 1) & ((1 << _BITS) - 1)
+            held = self.values[at[rest]]
+            same = (self.keys[at[rest]] == h[rest]) & (held >= 0)
+            found[rest[same]] = held[same]
+            rest = rest[~same & (held >= 0)]
         return found
 
     def _spelled(self, codes: np.ndarray, logp: np.ndarray) -> np.ndarray:
@@ -167,19 +171,31 @@ class Lattice:
                 scale = np.log(weights[own]) - alpha[length]
                 found: list[np.ndarray] = []
                 shares: list[np.ndarray] = []
-                for j in range(length, 0, -1):
-                    for i, ids in keep[j - 1]:
-                        edge = padded[ids]
-                        unknown = np.flatnonzero(ids < 0) if i == j - 1 else []
-                        if len(unknown):
-                            edge[unknown] = self._spelled(codes[unknown, i], padded)
-                        onward = edge + beta[j]
-                        share = np.exp(alpha[i] + onward + scale)
+                from_: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(length)]
+                for j, edges in enumerate(keep, 1):
+                    for i, ids in edges:
+                        from_[i].append((j, ids))
+                for i in range(length - 1, -1, -1):
+                    ways = np.empty((len(from_[i]), *beta[i].shape))
+                    unknown: np.ndarray | list = []
+                    for w, (j, ids) in zip(ways, from_[i], strict=True):
+                        np.add(beta[j], padded[ids], out=w)
+                        if j == i + 1:  # single characters
+                            unknown = np.flatnonzero(ids < 0)
+                            if len(unknown):
+                                w[unknown] = beta[j, unknown] + self._spelled(codes[unknown, i], padded)
+                    most = ways.max(axis=0)
+                    most[np.isneginf(most)] = 0
+                    ways -= most
+                    np.exp(ways, out=ways)
+                    beta[i] = np.log(ways.sum(axis=0)) + most
+                    ways *= np.exp(alpha[i] + most + scale)
+                    for share, (j, ids) in zip(ways, from_[i], strict=True):
                         found.append(ids)
                         shares.append(share)
-                        for u in unknown:
-                            np.add.at(total, self.bytes[list(chr(codes[u, i]).encode("utf-8", "surrogatepass"))], share[u])
-                        beta[i] = np.logaddexp(beta[i], onward)
+                        if j == i + 1:
+                            for u in unknown:
+                                np.add.at(total, self.bytes[list(chr(codes[u, i]).encode("utf-8", "surrogatepass"))], share[u])
                 ids, share = np.concatenate(found), np.concatenate(shares)
                 ids = np.where(ids < 0, self.size, ids)
                 for m in range(k):
