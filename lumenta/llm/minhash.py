@@ -180,20 +180,24 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _reaches(x: np.ndarray, y: np.ndarray, band: int, least: float) -> np.ndarray:
-    """Which of the pairs x × y can reach the threshold by signature and share no band before this one."""
+def _reaches(x: np.ndarray, y: np.ndarray, x_bands: np.ndarray, y_bands: np.ndarray, band: int, least: float) -> np.ndarray:
+    """Which of the pairs x × y can reach the threshold by signature and share no bucket before this band's.
+
+    Buckets are told by their keys: signatures hold the upper half of each minimum, and of
+    long texts these agree by chance.
+    """
     same = np.zeros((len(x), len(y)), np.int16)
     met = np.zeros((len(x), len(y)), bool)
     for k in range(BANDS):
         equal = x[:, k * ROWS : (k + 1) * ROWS, None] == y.T[None, k * ROWS : (k + 1) * ROWS, :]
         same += equal.sum(axis=1, dtype=np.int16)
         if k < band:
-            met |= equal.all(axis=1)
+            met |= x_bands[:, k, None] == y_bands[None, :, k]
     return (same >= least) & ~met
 
 
 def left_over(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components, from members (bucket, band, row, sig, set, root, away) of buckets that have more than one.
+    """Links (a, b) between components, from members (bucket, band, row, sig, bands, set, root, away) of buckets that have more than one.
 
     A pair is looked at in the first bucket that it shares, and not at all if the block's
     links have joined its components; so a block has fewer links than members.
@@ -206,6 +210,7 @@ def left_over(members: DataFrame, percent: int) -> DataFrame:
         own = table.combine_chunks()
         row, root, away, side = (own.column(c).to_numpy() for c in ("row", "root", "away", "side"))
         sig = np.frombuffer(b"".join(own.column("sig").to_pylist()), "<u2").reshape(len(row), -1)
+        bands = own.column("bands").combine_chunks().flatten().to_numpy().reshape(len(row), -1)
         sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in own.column("set")]
         band, i, j = (own.column(c)[0].as_py() for c in ("band", "i", "j"))
         x, y = np.flatnonzero(side == i), np.flatnonzero(side == j)
@@ -224,7 +229,7 @@ def left_over(members: DataFrame, percent: int) -> DataFrame:
                 ok &= row[part][:, None] < row[y][None, :]
             if not ok.any():
                 continue
-            ok &= _reaches(sig[part], sig[y], band, least)
+            ok &= _reaches(sig[part], sig[y], bands[part], bands[y], band, least)
             for p, q in zip(*np.nonzero(ok), strict=True):
                 p, q = part[p], y[q]
                 a, b = top(int(root[p])), top(int(root[q]))
@@ -240,7 +245,7 @@ def left_over(members: DataFrame, percent: int) -> DataFrame:
     sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / SIDE, F.sum(F.length("set")) / SIDE_BYTES)).cast("int").alias("sides"))
     dealt = members.join(redealt(sizes, "bucket"), "bucket").withColumn("side", F.pmod(F.xxhash64("row"), F.col("sides")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-    return dealt.select("bucket", "band", "i", "j", "side", "row", "root", "away", "sig", "set").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.select("bucket", "band", "i", "j", "side", "row", "root", "away", "sig", "bands", "set").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -277,7 +282,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sided = placed.join(at_hub, F.col("bucket") == F.col("__k")).withColumn("outside", F.col("root") != F.col("__r"))
     mixed = sided.where("outside").groupBy("bucket").agg(F.min("away").alias("nearest"), F.count("*").alias("n_outside")).withColumnRenamed("bucket", "__k2")
     open_ = sided.join(mixed, F.col("bucket") == F.col("__k2")).where(F.col("outside") | (F.col("away") >= F.col("nearest") - (1 - percent / 100) - 1e-9)).where("row <> hub").select("bucket", "band", "row", "root", "away")
-    open_ = stored(open_.join(rows.select("row", "sig"), "row").join(sets, "row"), "open")
+    open_ = stored(open_.join(rows.select("row", "sig", "bands"), "row").join(sets, "row"), "open")
     again = left_over(open_, percent)
     final = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(again))
     rooted = classes.join(final, F.col("class") == F.col("node"), "left").select("row", F.coalesce("root", "class").alias("root"))

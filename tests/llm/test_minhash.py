@@ -57,6 +57,20 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert sorted(str(tuple(r)[:4]) for r in got) == by_hand(rows, 3, 85)
 
 
+def test_long_texts_linked_only_beside_foreign_hubs(spark):
+    """Minima of long texts agree in their upper halves by chance, which must not count as a shared bucket."""
+    rng = random.Random(10)
+
+    def words(n):
+        return [f"n{rng.getrandbits(40)}" for _ in range(n)]
+
+    core = words(24_000)
+    rows = [(i, " ".join(core + words(n))) for i, n in enumerate([9_600] * 16 + [2_400] * 2)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 1, 80).collect()
+    assert sorted(str(tuple(r)[:4]) for r in got) == by_hand(rows, 1, 80)
+    assert len({r.component_id for r in got}) == 17
+
+
 def test_components_of_a_path(spark):
     rng = random.Random(3)
     n = list(range(60))
