@@ -238,8 +238,8 @@ def index_include_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_lex_topk(spark: SparkSession, sf: str) -> DataFrame:
-    docs, dictionary = sources.lexical(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
-    q, _ = sources.lexical(spark.read.parquet(f"{sf}/benchmark.parquet").withColumnRenamed("item_id", "qid"), "qid", "text", dictionary)
+    docs = sources.lexical(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+    q = sources.lexical(spark.read.parquet(f"{sf}/benchmark.parquet").withColumnRenamed("item_id", "qid"), "qid", "text")
     return search.inverted(docs, q.withColumnRenamed("value", "weight"), K)
 
 

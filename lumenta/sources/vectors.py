@@ -10,7 +10,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenta.scratch import scratch
 from lumenta.types import MAX_DIM
 
 
@@ -72,20 +71,8 @@ def positive_components(embeddings: DataFrame) -> DataFrame:
     return long.where("value > 0").select("doc_id", "term", F.col("value").cast("double").alias("value"))
 
 
-def lexical(documents: DataFrame, key: str, text: str, dictionary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Entries log(1 + tf) of lower-cased a-z tokens, and the dictionary (token, term).
-
-    Terms number tokens by falling document frequency, then by token, up to the largest
-    dimension; other tokens are left out.
-    """
+def lexical(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Entries log(1 + tf) of lower-cased a-z tokens, each token its own term: no vocabulary is numbered, bounded or broadcast."""
     token = F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
-    counts = documents.select(F.col(key), token.alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    if dictionary is None:
-        from pyspark.sql import Window as W
-
-        counts = scratch(counts, "token-counts")  # read twice
-        frequent = counts.groupBy("token").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "token").limit(MAX_DIM)
-        dictionary = scratch(frequent.select("token", (F.row_number().over(W.orderBy(F.desc("df"), "token")) - 1).alias("term")), "dictionary")
-    # the dictionary has no more rows than the largest dimension
-    weighted = counts.join(F.broadcast(dictionary), "token").select(key, "term", F.log1p("tf").alias("value"))
-    return weighted, dictionary
+    counts = documents.select(F.col(key), token.alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return counts.select(key, "term", F.log1p("tf").alias("value"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenta import queries
 from lumenta.functions import vectors as expressions
 from lumenta.functions.quantize import Quantizer
 from lumenta.operators import clusters, idmap, postings, score, search, topk
@@ -264,3 +265,14 @@ def test_id_maps(spark):
     res = spark.createDataFrame([(0, 1, 1, 2.0), (0, 2, -1, -1.0)], "qid long, rank int, doc_id long, score double")
     assert hits(idmap.to_external(res, m)) == ([200, -1], [2.0, -1.0])
     assert score.small(m).count() == 2
+
+
+def test_lexical_search_finds_tokens_beyond_the_reference_dimension(spark, tmp_path):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = [a + b + c + d for a in letters[:4] for b in letters for c in letters for d in letters]
+    spark.createDataFrame([(1, " ".join(many)), (2, "zebra zebra"), (3, "other zulu")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "Zebra"), (8, "zulu aaaa nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.qid, r["rank"], r.doc_id, r.score) for r in queries.doc_lex_topk(spark, str(tmp_path)).collect())
+    one = math.log(2)
+    assert len(many) > 65_536
+    assert got == [(7, 1, 2, round(math.log(3) * one, 6)), (8, 1, 1, round(one * one, 6)), (8, 2, 3, round(one * one, 6))]
