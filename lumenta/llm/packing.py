@@ -29,10 +29,12 @@ from lumenta.llm.common import stored
 
 CAPACITY = 1024
 GROUPS = 256
-#: Steps of the simplex method at most; what it has not settled by then is filled greedily.
-STEPS = 4000
-#: Buckets within each length for numbering pieces; GROUPS, SALT and the capacity bound all that the driver sees.
-SALT = 64
+#: How far from the linear programme's optimum its solution may be.
+GAP = 0.001
+#: A guard against endless exchanges of equal fillings: rounds of new fillings; pieces that the best solution till then leaves are filled in greedily.
+ROUNDS = 1000
+#: Pieces of each length are numbered within buckets, one for every so many pieces of all, at least and at most so many.
+ROWS, SALTS = 1_000_000, (64, 1024)
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -122,51 +124,64 @@ def filling(sizes: list[int], left: list[int], capacity: int) -> list[int]:
         gap -= best
 
 
-def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable filling of one sequence, each size as often as it fits."""
-    table = np.zeros((len(sizes) + 1, capacity + 1))
-    for i, (s, v) in enumerate(zip(sizes, values, strict=True)):
-        row = table[i + 1]
-        row[:] = table[i]
-        if v > 0:
-            for _ in range(capacity // s):
-                better = row[:-s] + v
-                np.maximum(row[s:], better, out=better)
-                row[s:] = better
-    at, taken = capacity, np.zeros(len(sizes), np.int64)
-    for i in range(len(sizes), 0, -1):
-        while table[i][at] > table[i - 1][at]:
-            taken[i - 1] += 1
-            at -= sizes[i - 1]
-    return table[-1][capacity], taken
+def fillings(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, list[Counter]]:
+    """The value of the most valuable filling of one sequence, and for each size the best one that holds it; sizes ascend."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
+    for w in range(int(sizes[0]), capacity + 1):
+        worth = best[w - sizes[: fits[w]]] + values[: fits[w]]
+        i = int(worth.argmax())
+        best[w] = best[w - 1]
+        if worth[i] > best[w]:
+            best[w], last[w] = worth[i], i
+    size, of = sizes.tolist(), last.tolist()
+    out = []
+    for i in np.argsort(-(values + best[capacity - sizes])).tolist():
+        taken, w = Counter([i]), capacity - size[i]
+        while w >= size[0]:
+            if of[w] < 0:
+                w -= 1
+                continue
+            taken[of[w]] += 1
+            w -= size[of[w]]
+        out.append(taken)
+    return float(best[-1]), out
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """Fillings and how often to use each: the linear programme over all fillings, rounded down.
+    """Fillings and how often to use each: the linear programme over all fillings, rounded down; sizes descend.
 
-    The fillings are found one by one, as those that the current dual values make worth
-    more than a sequence (column generation).
+    Fillings are found as those that the current dual values make worth more than a
+    sequence (column generation), the best for each size at a time. If the best is worth
+    v, the optimum is at least the v-th part of what is reached, so it ends when v is at
+    most 1 + GAP. Vectors are multiplied element by element: a threaded matrix library
+    beside the JVM would stall the driver.
     """
-    s, d = np.array(sizes), np.array(demand, float)
-    basis = np.diag(capacity // s).astype(float)
-    inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ d
-    for step in range(STEPS):
-        value, taken = knapsack(s, inverse.sum(axis=0), capacity)
-        if value <= 1 + 1e-7:
+    s, d = np.array(sizes[::-1]), np.array(demand[::-1], float)
+    basis = np.diag(capacity // s)
+    inverse = np.diag(1 / np.diag(basis).astype(float))
+    x = d / np.diag(basis)
+    for _ in range(ROUNDS if sizes else 0):
+        value, found = fillings(s, inverse.sum(axis=0), capacity)
+        if value <= 1 + GAP:
             break
-        direction = inverse @ taken
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(direction > 1e-9, x / direction, np.inf)
-        out = int(np.argmin(ratio))
-        basis[:, out] = taken
-        pivot = inverse[out] / direction[out]
-        inverse -= np.outer(direction, pivot)
-        inverse[out] = pivot
-        if step % 64 == 63:
-            inverse = np.linalg.inv(basis)
-        x = np.maximum(inverse @ d, 0)
-    return [([i for i in range(len(sizes)) for _ in range(int(basis[i, k]))], int(n)) for k, n in enumerate(np.floor(x + 1e-9)) if n >= 1]
+        for taken in found:
+            own, times = np.fromiter(taken.keys(), int), np.fromiter(taken.values(), int)
+            if (inverse[:, own].sum(axis=0) * times).sum() <= 1 + GAP / 2:
+                continue
+            direction = (inverse[:, own] * times).sum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.where(direction > 1e-9, x / direction, np.inf)
+            out = int(np.argmin(ratio))
+            x = np.maximum(x - ratio[out] * direction, 0)
+            x[out] = ratio[out]
+            basis[:, out] = 0
+            basis[own, out] = times
+            pivot = inverse[out] / direction[out]
+            inverse -= direction[:, None] * pivot
+            inverse[out] = pivot
+    n = len(sizes)
+    return [([n - 1 - i for i in range(n - 1, -1, -1) for _ in range(basis[i, k])], int(times)) for k, times in enumerate(np.floor(x + 1e-9)) if times >= 1]
 
 
 class Run:
@@ -194,7 +209,7 @@ def arrange(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     rounded = [s for s, _ in sizes]
     used: Counter = Counter()
     runs: list[Run] = []
-    planned = configurations(rounded, left, capacity) if sum(left) > 2 * len(left) else []
+    planned = configurations(rounded, left, capacity)
     while any(left):
         pattern, times = planned.pop() if planned else (filling(rounded, left, capacity), sum(left))
         need = Counter(pattern)
@@ -280,9 +295,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     Full pieces are sequences of their own, with negative ids.
     """
     table = stored(pieces(docs, capacity, vocabulary, end_id), "pieces")
-    salted = table.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALT)).cast("int"))
-    # at most capacity * SALT counts
-    seen = np.zeros((capacity, SALT), np.int64)
+    salts = min(max(SALTS[0], table.count() // ROWS), SALTS[1])
+    # salted by all columns, so that rows with null ids are spread too
+    salted = table.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    # at most capacity * salts counts
+    seen = np.zeros((capacity, salts), np.int64)
     for length, salt, n in salted.groupBy("length", "salt").count().collect():
         seen[length, salt] = n
     before = np.cumsum(seen, axis=1) - seen

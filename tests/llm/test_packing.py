@@ -1,5 +1,6 @@
 import bisect
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -27,7 +28,9 @@ def test_every_piece_has_one_place(counts, groups):
 
 
 @pytest.mark.parametrize("law", ["even", "short", "long", "hot"])
-def test_few_sequences(law):
+def test_few_sequences(spark, law):
+    """Beside a running session, whose threads a threaded matrix library would wait for."""
+    began = time.time()
     rng = random.Random(5)
     draw = {"even": lambda: rng.randint(1, 1023), "short": lambda: min(1023, int(rng.expovariate(1 / 150)) + 1), "long": lambda: rng.randint(200, 700), "hot": lambda: 300 if rng.random() < 0.4 else rng.randint(1, 1023)}[law]
     counts = Counter(draw() for _ in range(30_000))
@@ -39,7 +42,30 @@ def test_few_sequences(law):
         plain += i == len(gaps)
         bisect.insort(gaps, (gaps.pop(i) if i < len(gaps) else 1024) - k)
     assert sum(r.count for r in runs) <= 1.01 * plain + 2, (law, sum(r.count for r in runs), plain)
-    assert len(runs) < 20_000
+    assert len(runs) < 20_000 and time.time() - began < 120
+
+
+def test_fillings_against_enumeration():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        sizes = np.sort(rng.choice(np.arange(5, 40), 6, replace=False))
+        values = rng.random(6)
+        ways = [()]
+        for w in ways:
+            ways += [(*w, i) for i in range(w[-1] if w else 0, 6) if sizes[list(w)].sum() + sizes[i] <= 40]
+        worth = {w: values[list(w)].sum() for w in ways}
+        best, found = packing.fillings(sizes, values, 40)
+        assert abs(best - max(worth.values())) < 1e-9 and len(found) == 6
+        firsts = {w: v for w, v in worth.items() if w}
+        for i in range(6):
+            own = max(v for w, v in firsts.items() if i in w)
+            assert any(abs(sum(values[k] * n for k, n in f.items()) - own) < 1e-9 and f[i] for f in found)
+
+
+def test_configurations_reach_the_bound():
+    """A case with a known optimum: thirds and halves of a sequence, which fill it wholly."""
+    found = packing.configurations([512, 341, 170], [200, 600, 100], 1024)
+    assert sum(n for _, n in found) <= 100 + 200 + 17 and all(sum([512, 341, 170][i] for i in f) <= 1024 for f, _ in found)
 
 
 def whole(rows):
