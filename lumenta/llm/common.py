@@ -25,6 +25,8 @@ def fresh(df: DataFrame, base: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is made only where none is configured."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
@@ -81,10 +83,20 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df, written as a table in buckets of key: later groupings and joins by key need no shuffle of it."""
+#: Bytes of text in a bucket, about.
+BUCKET_BYTES = 64 << 20
+
+
+def bucketed(df: DataFrame, key: str, name: str, size: int) -> DataFrame:
+    """df of about size bytes, written in buckets of key: later groupings and joins by key need no shuffle of it.
+
+    There is one bucket for every 64 MB, and at least as many as shuffle partitions. The
+    catalog forgets the table at once; its files stay, as those of stored() do.
+    """
     spark = df.sparkSession
-    n, table = parts(spark), f"{name}_{uuid.uuid4().hex}"
+    n, table = max(parts(spark), -(-size // BUCKET_BYTES)), f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
     df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out

@@ -5,18 +5,22 @@ only the others are indexed. Each 200-byte window has an anchor, the 100-byte st
 in it of least hash: equal windows have equal anchors. Consecutive windows of one
 anchor are a unit.
 
-1. Each group of documents asks which of its anchors' hashes occur anywhere else.
-2. Units around such anchors are compared as wholes: in the inside of a repeated
-   passage they are equal, and all their windows are repeated.
-3. What is left, the ends of repeated passages, goes to shards by anchor. A shard keeps
-   a family of suffix arrays: a batch of units gets a suffix array of its windows, which
-   is merge-scanned against each level's for equal prefixes of full depth; then levels
-   of equal size merge, so that n batches leave log n levels and each suffix is merged
-   log n times.
-
-Hashes only choose what is compared in 1, 128 bits stand for a unit in 2, and bytes
-are compared in 3. Documents are stored once, in buckets of their group, and each of
-the passes reads them where they are.
+1. Each group of documents asks which of its anchors' hashes occur anywhere else. Only
+   units around such anchors go on.
+2. Units that look alike by a 128-bit digest are one class. Two of each class, and all
+   units without a like, go to shards, where a family of suffix arrays decides: a batch
+   gets a suffix array, which is merge-scanned against each level for matches of full
+   depth; then levels of equal size merge, so that n batches leave log n levels and each
+   suffix is merged log n times.
+   - Two of a class are matched as wholes, from the first byte of the first window to
+     the last of the last: all their windows are repeated, and those of their likes.
+   - Other units, the ends of repeated passages, are matched window by window with all
+     distinct units of their anchor.
+3. Each group removes what the matches cover.
+
+Hashes choose what is compared, and stand for the further copies of a class; bytes decide
+what is repeated. Documents are stored once, in buckets of their group, and each of the
+passes reads them where they are.
 """
 
 from __future__ import annotations
@@ -35,8 +39,12 @@ from lumenta.llm.common import bucketed, parts, redealt, stored
 
 DEPTH = 200
 GRAM = DEPTH // 2
-#: Bytes of text in a group of documents; anchors of one bucket; units of one shard and of one batch.
-GROUP_BYTES, BUCKET, SHARD, BATCH = 16 << 20, 2_000_000, 1500, 4096
+#: The most bytes that a unit's windows cover.
+SPAN = 2 * DEPTH - GRAM
+#: Bytes of text in a group of documents; anchors of one bucket.
+GROUP_BYTES, BUCKET = 16 << 20, 2_000_000
+#: Units of one shard and of one batch: matched by windows, and as wholes.
+SHARD, BATCH, WHOLE_SHARD, WHOLE_BATCH = 1500, 128, 16_384, 2048
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -103,18 +111,20 @@ def _bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[np.ndarray]:
 
 
 class Family:
-    """Suffix arrays of batches of windows, merged geometrically.
+    """Suffix arrays of batches, to a fixed depth, merged geometrically.
 
-    A level is the sorted distinct windows of one or more batches, with the number of one
-    window of each; repeated[i] says whether window i has an equal anywhere.
+    A level is the sorted distinct suffixes of one or more batches, with the number of one
+    of each; repeated[i] says whether suffix i has an equal anywhere. peak is the most
+    levels that there were at once.
     """
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
         self.repeated = np.zeros(0, bool)
+        self.peak = 0
 
     def add(self, windows: np.ndarray) -> None:
-        """windows: array of S200."""
+        """windows: array of byte strings of one width."""
         base = len(self.repeated)
         self.repeated = np.append(self.repeated, np.zeros(len(windows), bool))
         if not len(windows):
@@ -132,6 +142,7 @@ class Family:
             self.repeated[owner[at[same]]] = True
         self.repeated[base + order] = shared[group]
         self.levels.append((1, distinct, first))
+        self.peak = max(self.peak, len(self.levels))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a, i), (_, b, j) = self.levels.pop(), self.levels.pop()
             both, owner = np.concatenate([a, b]), np.concatenate([i, j])
@@ -192,59 +203,70 @@ def _candidates(docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array(np.full(len(total), g, np.int32)), "row": total, "s": join(firsts), "e": join(lasts), "h": join(hashes), "k1": k[:, 0].copy(), "k2": k[:, 1].copy()})
 
 
-def _spans(shards: int) -> callable:
+def _spans(shards: int, wholes: int) -> callable:
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        """The bytes of each unit asked for, dealt to shards; a hot anchor's windows are dealt by their own hash."""
+        """The bytes of each unit asked for, dealt to shards: wholes by their digest, others by anchor, and a hot anchor's windows by their own hash."""
         texts = dict(zip(docs.column("row").to_pylist(), _bytes(docs.column("text")), strict=True))
         out: list[tuple] = []
-        for row, s, e, h, m, open_ in zip(*(asked.column(c).to_pylist() for c in ("row", "s", "e", "h", "m", "open")), strict=True):
+        for row, s, e, h, m, open_, k1, k2 in zip(*(asked.column(c).to_pylist() for c in ("row", "s", "e", "h", "m", "open", "k1", "k2")), strict=True):
             span = texts[row][s : e + DEPTH]
+            if k1 is not None:
+                out.append((-1 - k1 % wholes, row, s, open_, span.tobytes(), None, k1, k2))
+                continue
             split = -(-m // SHARD)
             if split == 1:
-                out.append((h % shards, row, s, open_, span.tobytes(), np.arange(e - s + 1, dtype=np.uint32).tobytes()))
+                out.append((h % shards, row, s, open_, span.tobytes(), np.arange(e - s + 1, dtype=np.uint32).tobytes(), None, None))
                 continue
             side = rolling(span, DEPTH) % np.uint64(split)
             for k in np.unique(side).tolist():
                 shard = xxhash.xxh3_64_intdigest(f"{h}/{k}") >> 2
-                out.append((shards + shard, row, s, open_, span.tobytes(), np.flatnonzero(side == k).astype(np.uint32).tobytes()))
+                out.append((shards + shard, row, s, open_, span.tobytes(), np.flatnonzero(side == k).astype(np.uint32).tobytes(), None, None))
         g = asked.column("g")[0].as_py() if asked.num_rows else 0
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        cols = list(zip(*out, strict=True)) or [[]] * 8
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-        return pa.table([pa.array([g] * len(out), pa.int32()), *arrays], names=["g", "shard", "row", "s", "open", "span", "at"])
+        return pa.table([pa.array([g] * len(out), pa.int32()), *arrays], names=["g", "shard", "row", "s", "open", "span", "at", "k1", "k2"])
 
     return run
 
 
+def _matched(table: pa.Table) -> pa.Table:
+    """What a shard's family finds: classes (k1, k2) whose two are equal, or intervals (g, row, lo, hi) of repeated windows of open units."""
+    return _whole(table) if table.column("shard")[0].as_py() < 0 else _ends(table)
+
+
+_FOUND = pa.schema([("g", pa.int32()), ("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("levels", pa.int32())])
+
+
+def _whole(table: pa.Table) -> pa.Table:
+    family, k1, k2 = Family(), table.column("k1").to_numpy(), table.column("k2").to_numpy()
+    for at in range(0, table.num_rows, WHOLE_BATCH):
+        part = table.column("span").slice(at, WHOLE_BATCH).to_pylist()
+        # filled up to one width, with the length last, in two bytes of which none is 0
+        family.add(np.array([x.ljust(SPAN, b"\0") + bytes((1 + len(x) // 255, 1 + len(x) % 255)) for x in part], f"S{SPAN + 2}"))
+    found = np.unique(np.stack([k1, k2], axis=1)[family.repeated], axis=0)
+    n = len(found)
+    none = pa.nulls(n, pa.int64())
+    return pa.Table.from_arrays([pa.nulls(n, pa.int32()), none, none, none, pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.full(n, family.peak, np.int32))], schema=_FOUND)
+
+
 def _ends(table: pa.Table) -> pa.Table:
-    """Intervals of repeated windows in the open units of a shard."""
     spans, ats = list(_bytes(table.column("span"))), [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("at")]
-    hashes = [rolling(x, DEPTH)[a] for x, a in zip(spans, ats, strict=True)]
-    every = np.concatenate(hashes)
-    _, which, count = np.unique(every, return_inverse=True, return_counts=True)
-    shared = np.split(count[which] > 1, np.cumsum([len(h) for h in hashes])[:-1])
-    family, owners, places = Family(), [], []
+    family = Family()
     for lo in range(0, len(spans), BATCH):
-        windows = []
-        for i in range(lo, min(len(spans), lo + BATCH)):
-            keep = shared[i]
-            if keep.any():
-                at = ats[i][keep]
-                windows.append(np.lib.stride_tricks.sliding_window_view(spans[i], DEPTH)[at])
-                owners.append(np.full(len(at), i))
-                places.append(at.astype(np.int64))
-        if windows:
-            family.add(np.concatenate(windows).view(f"S{DEPTH}").ravel())
-    owner, place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (owners, places))
-    owner, place = owner[family.repeated], place[family.repeated]
+        windows = [np.lib.stride_tricks.sliding_window_view(x, DEPTH)[at] for x, at in zip(spans[lo : lo + BATCH], ats[lo : lo + BATCH], strict=True)]
+        family.add(np.concatenate(windows).view(f"S{DEPTH}").ravel())
     open_ = np.array(table.column("open").to_pylist(), bool)
-    owner, place = owner[open_[owner]], place[open_[owner]]
+    owner = np.repeat(np.arange(len(ats)), [len(x) for x in ats])
+    place = np.concatenate(ats).astype(np.int64)
+    kept = family.repeated & open_[owner]
+    owner, place = owner[kept], place[kept]
     begin = np.append(True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)) if len(owner) else np.zeros(0, bool)
     lo = np.flatnonzero(begin)
     hi = np.append(lo[1:], len(owner)) - 1 if len(lo) else lo
     g, row, s = (table.column(c).to_numpy() for c in ("g", "row", "s"))
-    of = owner[lo]
-    return pa.table({"g": pa.array(g[of], pa.int32()), "row": row[of], "lo": s[of] + place[lo], "hi": s[of] + place[hi]})
+    of, none = owner[lo], pa.nulls(len(lo), pa.int64())
+    return pa.Table.from_arrays([pa.array(g[of], pa.int32()), pa.array(row[of]), pa.array(s[of] + place[lo]), pa.array(s[of] + place[hi]), none, none, pa.array(np.full(len(lo), family.peak, np.int32))], schema=_FOUND)
 
 
 def _cut(docs: pa.Table, marks: pa.Table) -> pa.Table:
@@ -281,26 +303,37 @@ def repeats(docs: DataFrame) -> DataFrame:
     bytes lose nothing. Repeated rows count as separate texts, so both lose what they
     share; extra columns are dropped; an empty table gives an empty one.
     """
+    own, seen, found = matches(docs)
+    classes = found.where("k1 IS NOT NULL").select("k1", "k2")
+    marks = seen.join(classes, ["k1", "k2"]).select("g", "row", F.col("s").alias("lo"), F.col("e").alias("hi")).unionByName(found.where("k1 IS NULL").select("g", "row", "lo", "hi"))
+    kind = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string"
+    return own.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(_cut, kind)
+
+
+def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored texts in groups, the units around anchors that occur again, and what the families found.
+
+    Texts are dealt to groups by row number, so that repeated rows are spread.
+    """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(parts(spark), -(-size // GROUP_BYTES))
     buckets = max(parts(spark), -(-size // (BUCKET * (DEPTH - GRAM) // 2)))
-    dealt = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"))
-    own = bucketed(dealt, "g", "texts")
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    own = bucketed(numbered.select("*", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("g")), "g", "texts", size)
     asked = own.groupBy("g").applyInArrow(_ask(buckets), "bucket int, g int, once binary, more binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "g int, found binary").where(F.length("found") > 0)
     found = own.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_candidates, "g int, row long, s long, e long, h long, k1 long, k2 long")
-    seen = stored(found.withColumn("unit", F.monotonically_increasing_id()), "units")
-    # written first, so that the join has a plain exchange on both sides and a frequent key's rows can be split
-    counts = stored(seen.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("unit").alias("first")).where("n > 1"), "counts")
-    joined = seen.join(counts, ["k1", "k2"], "left")
-    placed = stored(joined.select("g", "row", "s", "e", "h", F.coalesce("n", F.lit(1)).alias("n"), (F.col("unit") == F.coalesce("first", "unit")).alias("first")), "placed")
-    distinct = placed.where("first").select("g", "row", "s", "e", "h", (F.col("n") == 1).alias("open"))
+    seen = stored(found, "units")
+    one = F.struct("row", "s", "g", "e", "h")
+    classes = stored(seen.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("b")), "classes")
+    distinct = classes.select("a.*", (F.col("n") == 1).alias("open"))
     anchors = distinct.groupBy("h").agg(F.count("*").alias("m"), F.max("open").alias("some")).where("m > 1 AND some").drop("some")
-    wanted = distinct.join(redealt(anchors, "h"), "h").select("g", "row", "s", "e", "h", "m", "open")
-    shards = max(parts(spark), -(-placed.where("first AND n = 1").count() // SHARD))
-    spans = own.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_spans(shards), "g int, shard long, row long, s long, open boolean, span binary, at binary")
-    ends = spans.groupBy("shard").applyInArrow(_ends, "g int, row long, lo long, hi long")
-    marks = placed.where("n > 1").select("g", "row", F.col("s").alias("lo"), F.col("e").alias("hi")).unionByName(ends)
-    kind = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string"
-    return own.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(_cut, kind)
+    none = F.lit(None).cast("long")
+    by_window = distinct.join(redealt(anchors, "h"), "h").select("g", "row", "s", "e", "h", "m", "open", none.alias("k1"), none.alias("k2"))
+    copies = classes.where("n > 1")
+    as_whole = copies.select(F.explode(F.array("a", "b")).alias("x"), "k1", "k2").select("x.g", "x.row", "x.s", "x.e", "x.h", F.lit(0).cast("long").alias("m"), F.lit(False).alias("open"), "k1", "k2")
+    n_open, n_copies = classes.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
+    shards, wholes = max(parts(spark), -(-n_open // SHARD)), max(parts(spark), -(-2 * n_copies // WHOLE_SHARD))
+    spans = own.groupBy("g").cogroup(by_window.unionByName(as_whole).groupBy("g")).applyInArrow(_spans(shards, wholes), "g int, shard long, row long, s long, open boolean, span binary, at binary, k1 long, k2 long")
+    return own, seen, stored(spans.groupBy("shard").applyInArrow(_matched, "g int, row long, lo long, hi long, k1 long, k2 long, levels int"), "matches")

@@ -1,9 +1,11 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenta.llm import suffixes
 
@@ -46,6 +48,7 @@ def test_against_brute_force(spark, seed):
 def test_hot_anchors_and_batches(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SHARD", 7)
     monkeypatch.setattr(suffixes, "BATCH", 3)
+    monkeypatch.setattr(suffixes, "WHOLE_BATCH", 3)
     check(spark, corpus(random.Random(3), 80))
 
 
@@ -69,3 +72,19 @@ def test_odd_rows(spark, odd, none):
     got = suffixes.repeats(odd("row")).collect()
     assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256)) for r in got) == by_hand([(r.doc_id, r.text) for r in odd().collect()])
     assert suffixes.repeats(none).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_shards_have_levels(spark):
+    """With production parameters a shard's batches meet levels of earlier ones, of windows and of whole units."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    found = suffixes.matches(docs)[2]
+    most = {r[0]: r[1] for r in found.groupBy(F.col("k1").isNotNull()).agg(F.max("levels")).collect()}
+    assert most[False] >= 3 and most[True] >= 2
+
+
+def test_bytes_decide_about_wholes():
+    table = suffixes.pa.table({"shard": [-1, -1], "k1": [5, 5], "k2": [6, 6], "span": [b"a" * 250, b"a" * 251]})
+    assert suffixes._matched(table).num_rows == 0
+    table = suffixes.pa.table({"shard": [-1] * 4, "k1": [5, 5, 7, 7], "k2": [6, 6, 8, 8], "span": [b"a" * 250, b"a" * 250, b"b" * 249 + b"\0", b"b" * 249]})
+    assert suffixes._matched(table).select(["k1", "k2"]).to_pylist() == [{"k1": 5, "k2": 6}]
