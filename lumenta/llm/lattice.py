@@ -17,8 +17,8 @@ import numpy as np
 import pandas as pd
 
 BEGIN = "▁"  # marks a word's beginning in the vocabulary
-#: Longer words go through the recursion one at a time.
-TOGETHER = 48
+#: Longer words go through the recursion one at a time, and still longer ones in parts of a bounded size.
+TOGETHER, LONG, PART = 48, 192, 2048
 BLOCK = 4096
 _MULTIPLIER, _SPREAD, _BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 20
 
@@ -134,28 +134,13 @@ class Lattice:
         padded = np.vstack([logp, np.full((1, logp.shape[1]), -np.inf)])
         with np.errstate(over="ignore", divide="ignore"):
             for own, codes in self._groups(words):
-                if codes.shape[1] > 4 * TOGETHER:
-                    out[own] = self._rolling(codes, padded)
+                if codes.shape[1] > LONG:
+                    for k, word in zip(own, codes, strict=True):
+                        out[k] = _Long(self, word, padded).forward()
                 else:
                     out[own] = self._forward(codes, padded)[-1]
         return out
 
-    def _rolling(self, codes: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        """The recursion for one very long word, with only the last columns kept."""
-        word, alpha = "".join(map(chr, codes[0].tolist())), [np.zeros(logp.shape[1])]
-        for j in range(1, len(word) + 1):
-            ways = []
-            for i in range(max(0, j - self.longest), j):
-                k = self.ids.get(word[i:j])
-                if k is not None:
-                    ways.append(alpha[i - j] + logp[k])
-                elif i == j - 1:
-                    ways.append(alpha[-1] + self._spelled(codes[0, i:j], logp)[0])
-            w = np.array(ways)
-            most = w.max(axis=0)
-            alpha = [*alpha[-self.longest + 1 :], np.log(np.exp(w - most).sum(axis=0)) + most]
-        return alpha[-1]
-
     def expected(self, words: list[str], weights: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Expected piece counts (pieces, K) over all segmentations; weights (n, K) is how often each word came."""
         k = logp.shape[1]
@@ -163,6 +148,10 @@ class Lattice:
         padded = np.vstack([logp, np.full((1, k), -np.inf)])
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
             for own, codes in self._groups(words):
+                if codes.shape[1] > LONG:
+                    for w, word in zip(weights[own], codes, strict=True):
+                        _Long(self, word, padded).expected(w, total)
+                    continue
                 keep: list = []
                 alpha = self._forward(codes, padded, keep)
                 length = codes.shape[1]
@@ -203,6 +192,94 @@ class Lattice:
         return total[:-1]
 
 
+class _Long:
+    """Both recursions for one very long word, with only a part of the columns held at a time.
+
+    Probabilities are kept as numbers with a running factor taken out every four
+    characters, so that a step is one product and one sum. Of the first recursion the
+    columns before each part are kept; the second one recomputes a part from them.
+    """
+
+    def __init__(self, model: Lattice, codes: np.ndarray, logp: np.ndarray) -> None:
+        self.model, self.codes, self.logp, self.most = model, codes, logp, model.longest
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def edges(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each end in first..last - 1: ids of the pieces of the longest to one character that end there, and their log weights."""
+        m, none = self.most, self.logp.shape[0] - 1
+        ids = np.full((last - first, m), none, np.int64)
+        c = self.codes.astype(np.uint64) + np.uint64(1)
+        h = np.zeros(last - first, np.uint64)
+        power = np.uint64(1)
+        with np.errstate(over="ignore"):
+            for k in range(m):  # one character more in front
+                ends = np.arange(max(first, k), last)
+                h[ends - first] += c[ends - k] * power
+                power *= _MULTIPLIER
+                if len(ends):
+                    found = self.model._find(h[ends - first])
+                    ids[ends - first, m - 1 - k] = np.where(found < 0, none, found)
+        lp = self.logp[ids]
+        unknown = np.flatnonzero(ids[:, -1] == none)
+        if len(unknown):
+            lp[unknown, -1] = self.model._spelled(self.codes[first + unknown], self.logp)
+        return ids, lp
+
+    @staticmethod
+    def _steps(weights: np.ndarray, start: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """After the columns start, each column is the sum of those before it by weights: the last ones, their log factor, and the logs of all."""
+        n, m, k = weights.shape
+        out, raw, factor, now = np.zeros((m + n, k)), np.empty((m + n, k)), np.empty((m + n, k)), scale
+        out[:m], factor[:m] = start, scale
+        raw[:m] = start
+        for j in range(n):
+            out[m + j] = raw[m + j] = (out[j : m + j] * weights[j]).sum(axis=0)
+            factor[m + j] = now
+            if j % 4 == 3 or j == n - 1:
+                window = out[j + 1 : m + j + 1]
+                np.minimum(window / raw[m + j], 1e300, out=window)  # what is more than that above is so far off that no piece reaches across
+                now = now + np.log(raw[m + j])
+        with np.errstate(divide="ignore"):
+            return out[-m:], now, np.log(raw) + factor
+
+    def forward(self, keep: bool = False) -> np.ndarray:
+        k = self.logp.shape[1]
+        last, scale = np.zeros((self.most, k)), np.zeros(k)
+        last[-1] = 1
+        for at in range(0, len(self.codes), PART):
+            if keep:
+                self.kept.append((last, scale))
+            _, lp = self.edges(at, min(len(self.codes), at + PART))
+            last, scale, _ = self._steps(np.exp(lp), last, scale)
+        return np.log(last[-1]) + scale
+
+    def expected(self, weight: np.ndarray, total: np.ndarray) -> None:
+        """Adds weight times the expected counts to total (pieces and one more, K)."""
+        whole, n, m, k = self.forward(keep=True), len(self.codes), self.most, self.logp.shape[1]
+        after, scale = np.zeros((m, k)), np.zeros(k)  # the columns at and after a part's end, in falling order of place
+        after[-1] = 1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for number in range(len(self.kept) - 1, -1, -1):
+                at = number * PART
+                stop = min(n, at + PART)
+                ids, lp = self.edges(at, min(n, stop + m - 1))
+                before = self._steps(np.exp(lp[: stop - at]), *self.kept[number])[2][m - 1 : m - 1 + stop - at]
+                # edges by their start: the one of length x from i ends in column i + x
+                start, length = np.arange(stop - at)[:, None], np.arange(m, 0, -1)[None, :]
+                end = start + length - 1
+                inside = end < len(ids)
+                end = np.minimum(end, len(ids) - 1)
+                own_ids = np.where(inside, ids[end, m - length], len(total) - 1)
+                own_lp = np.where(inside[:, :, None], lp[end, m - length], -np.inf)
+                after, scale, logs = self._steps(np.exp(own_lp[::-1]), after, scale)
+                # logs turned round: from the part's start on, then the m - 1 columns after its end
+                share = np.where(own_lp > -np.inf, np.exp(before[:, None, :] + own_lp + logs[::-1][start + length] - whole) * weight, 0)
+                for c in range(k):
+                    total[:, c] += np.bincount(own_ids.ravel(), weights=share[:, :, c].ravel(), minlength=len(total))
+                for i in np.flatnonzero(own_ids[:, -1] == len(total) - 1).tolist():  # spelled by bytes
+                    np.add.at(total, self.model.bytes[list(chr(self.codes[at + i]).encode("utf-8", "surrogatepass"))], share[i, -1])
+
+
 def normalised(counts: np.ndarray, smooth: float) -> np.ndarray:
     """Log probabilities (pieces, K) of counts with additive smoothing."""
     c = counts + smooth

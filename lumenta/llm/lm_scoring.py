@@ -1,17 +1,19 @@
 """Language-model scores: the marginal probability of a text over all its segmentations.
 
 Words are counted over the whole corpus, map-side first. The weights of a fixed piece
-vocabulary start from the scores in its file and are fitted to the distinct words of
-the training documents by expectation maximisation, where the E step is the forward
-and backward recursion of lattice.py. A word seen in training also has an edge of its
-own in the lattice, of its count less a discount; what the discounts free is the
-weight of the segmentations into pieces, and of words seen elsewhere. So word
-probabilities sum to one, and words never seen get theirs from their pieces.
-
-There is one such model for each class of training documents (their lang, where the
+vocabulary start from the scores in its file and are fitted to the running words of the
+training documents by expectation maximisation. A word's probability is the sum over all
+its segmentations into pieces, found by the forward recursion of lattice.py; a text's is
+the product of its words', each followed by the end or not.
+
+There is one set of weights for each class of training documents (their lang, where the
 table has one), and a text's probability is also summed over the classes: a text's own
 class is never looked at.
 
+Beside that, a word seen in training may also have an edge of its own in the lattice, of
+its count less a discount; what the discounts free is the weight of the segmentations
+into pieces, and of words seen elsewhere. That model's score is a further column.
+
 Each distinct word is scored once, and documents look their words up: they are dealt to
 groups of a bounded number of bytes, a group asks for each of its distinct words once,
 and the answers come back to it. No vocabulary is collected or broadcast, only piece
@@ -39,7 +41,7 @@ GROUP_BYTES = 24 << 20
 WORDS_HELD = 400_000
 ROUNDS = 2
 SMOOTH = 0.01
-#: Classes with a model of their own at most, the largest; other training documents form one more.
+#: Classes with weights of their own, the largest ones, unless the caller says otherwise; the documents of all others share one more set.
 CLASSES = 12
 #: The part of a class's unseen words that words seen in other classes get.
 ELSEWHERE = 0.3
@@ -86,10 +88,7 @@ def word_counts(docs: DataFrame, classes: int) -> DataFrame:
 
 
 def fit(words: DataFrame, classes: int, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log weights (pieces, classes) fitted to each class's distinct words; the driver sees one number for each piece and class.
-
-    Distinct words and not running ones, since pieces have to spell the words that training has not seen.
-    """
+    """Log weights (pieces, classes) fitted to each class's words; the driver sees one number for each piece and class."""
     model = lattice.lattice(vocabulary)
     logp = np.repeat(model.prior()[:, None], classes, axis=1)
     names = [f"n{k}" for k in range(classes)]
@@ -99,7 +98,7 @@ def fit(words: DataFrame, classes: int, vocabulary: str, rounds: int = ROUNDS) -
         def run(frames: Iterator[pd.DataFrame], logp: np.ndarray = logp) -> Iterator[pd.DataFrame]:
             total = np.zeros(logp.shape)
             for f in lattice.gathered(frames):
-                total += lattice.lattice(vocabulary).expected(f["word"].tolist(), (f[names].to_numpy() > 0).astype(float), logp)
+                total += lattice.lattice(vocabulary).expected(f["word"].tolist(), f[names].to_numpy(float), logp)
             piece, kind = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "class": kind, "expected": total[piece, kind]})
 
@@ -126,30 +125,33 @@ class Weights:
         self.elsewhere = ELSEWHERE if words.sum() else 0.0
 
     def log10(self, count: np.ndarray, lp: np.ndarray) -> np.ndarray:
-        """Words' log10 probabilities (n, classes) from their training counts and their pieces' natural log marginals."""
+        """Log10 probabilities (n, classes) of words with edges of their own, from their training counts and their pieces' natural log marginals."""
         own = np.maximum(count - self.discount, 0) / self.words + self.rest * self.elsewhere * count.sum(axis=1, keepdims=True) / self.total
         with np.errstate(divide="ignore"):
             return (np.logaddexp(np.log(own), np.log(self.rest * (1 - self.elsewhere)) + lp) + np.log(1 - self.end)) / math.log(10)
 
 
-def score(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None = None, rounds: int = ROUNDS, kind: str = "lang") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
+def score(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None = None, rounds: int = ROUNDS, kind: str = "lang", most: int = CLASSES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and word_score of every text.
 
     train says which rows are learned from; by default those whose CRC-32 of the id as
     text isn't 0 modulo 10. A text's tokens are its words and one end. base_score is the
-    smoothed word unigram's log10 probability; score is that of the pieces' lattices.
-    Classes are the values of kind, if docs has that column; null is one of them. Null
-    texts count as empty: an end alone. Repeated rows are scored each; extra columns are
+    smoothed word unigram's log10 probability, score that of the lattices of pieces,
+    word_score that of the lattices in which known words have edges too. Classes are the
+    values of kind, if docs has that column; null is one of them; beyond the most largest
+    ones, all others' documents make one. Null texts count as empty: an end alone. Of rows
+    equal in id and text one is scored, and the result repeated; extra columns are
     dropped; an empty table gives an empty one; without training rows only the
-    vocabulary's own scores count, and an end is as likely as not.
+    vocabulary's own scores count, and an end is as likely as not. A word without a space
+    for megabytes needs no more memory than its characters.
     """
     path = vocabulary or lattice.vocabulary()
     train = (id_crc(F.col("doc_id")) % 10 != 0) if train is None else train
     label = F.col(f"`{kind}`").cast("string") if kind in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", "text", train.alias("train"), label.alias("kind"))
-    known = [r[0] for r in rows.where("train").groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(CLASSES + 1).collect()]
+    known = [r[0] for r in rows.where("train").groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(most + 1).collect()]
     classes = max(1, len(known))
-    number = F.coalesce(*[F.when(F.col("kind").eqNullSafe(F.lit(v)), F.lit(i)) for i, v in enumerate(known[:CLASSES])], F.lit(classes - 1))
+    number = F.coalesce(*[F.when(F.col("kind").eqNullSafe(F.lit(v)), F.lit(i)) for i, v in enumerate(known[:most])], F.lit(classes - 1))
     rows = rows.select("doc_id", "text", "train", F.when(F.col("train"), number).alias("class"))
     counted = stored(word_counts(rows, classes), "words")
     names = [f"n{k}" for k in range(classes)]
@@ -166,14 +168,14 @@ def score(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None
 
     def marginal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in lattice.gathered(frames):
-            count = f[names].to_numpy(float)
-            lp = weights.log10(count, lattice.lattice(path).score(f["word"].tolist(), logp))
-            yield pd.DataFrame({"word": f["word"], "count": count.sum(axis=1).astype(np.int64), "lp": list(lp.astype(np.float32))})
+            lp = lattice.lattice(path).score(f["word"].tolist(), logp)
+            yield pd.DataFrame({"word": f["word"], "counts": list(f[names].to_numpy(np.int64)), "lp": list(lp.astype(np.float32))})
 
-    table = counted.where(word).mapInPandas(marginal, "word string, count long, lp array<float>")
+    table = counted.where(word).mapInPandas(marginal, "word string, counts array<long>, lp array<float>")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text", "train")
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text", "train").repartition("g")
+    dealt = dealt.groupBy("g", "doc_id", "text", "train").agg(F.count("*").alias("times"))
 
     def ask(table: pa.Table) -> pa.Table:
         own: set[bytes] = set()
@@ -182,27 +184,31 @@ def score(docs: DataFrame, train: F.Column | None = None, vocabulary: str | None
         return pa.table({"g": pa.array([table.column("g")[0].as_py()] * len(own), pa.int32()), "word": pa.array(own, pa.binary()).cast(pa.string())})
 
     asked = dealt.groupBy("g").applyInArrow(ask, "g int, word string")
-    answers = asked.join(table, "word").select("g", "word", "count", "lp")
+    answers = asked.join(table, "word").select("g", "word", "counts", "lp")
     floor, below = 0.1, n + 0.1 * (v + 1)
     end_base, end_lp = math.log10((n_ends + floor) / below), weights.prior + np.log10(weights.end)
 
     def join(own: pa.Table, found: pa.Table) -> pa.Table:
         words = {w: i for i, w in enumerate(found.column("word").cast(pa.binary()).to_pylist())}
-        count = found.column("count").to_numpy()
-        lp = found.column("lp").combine_chunks().flatten().to_numpy().reshape(-1, classes)
+        counts, lp = (found.column(c).combine_chunks().flatten().to_numpy().reshape(-1, classes) for c in ("counts", "lp"))
+        count = counts.sum(axis=1)
         base = np.log10((count + floor) / below)
+        # base, pieces, words: summed over a text at once
+        each = np.concatenate([base[:, None], lp / math.log(10) + np.log10(1 - weights.end), weights.log10(counts, lp.astype(np.float64))], axis=1)
         known = count > 0
-        tokens, seen, first, second = [], [], [], []
-        for text in own.column("text"):
+        tokens, seen, sums = [], [], np.zeros((own.num_rows, each.shape[1]))
+        for i, text in enumerate(own.column("text")):
             at = np.fromiter(map(words.__getitem__, words_of(text.as_py())), np.int64)
             tokens.append(len(at) + 1)
             seen.append(int(known[at].sum()) + (n_ends > 0))
-            first.append(float(base[at].sum()) + end_base)
-            second.append(float(np.logaddexp.reduce((lp[at].sum(axis=0, dtype=np.float64) + end_lp) * math.log(10)) / math.log(10)))
+            sums[i] = each[at].sum(axis=0)
+        over = lambda lp: np.logaddexp.reduce((lp + end_lp) * math.log(10), axis=1) / math.log(10)
         return pa.table({
             "doc_id": own.column("doc_id"), "held_out": pa.array([not x for x in own.column("train").to_pylist()], pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()),
-            "train_tokens": pa.array([n] * len(tokens), pa.int64()), "base_score": pa.array(first, pa.float64()), "score": pa.array(second, pa.float64()),
+            "train_tokens": pa.array([n] * len(tokens), pa.int64()), "base_score": pa.array(sums[:, 0] + end_base), "score": pa.array(over(sums[:, 1 : classes + 1])), "word_score": pa.array(over(sums[:, classes + 1 :])),
+            "times": own.column("times"),
         })
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(join, schema)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double"
+    scored = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(join, schema + ", times long")
+    return scored.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")

@@ -13,7 +13,7 @@ COLUMNS = {
     "op2_pack_sequences": "doc_id piece start length ids_crc32 sequence_id offset",
     "op3_line_dedup": "doc_id n_lines n_removed text",
     "op4_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
-    "op5_lm_scores": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op5_lm_scores": "doc_id held_out n_tokens n_known train_tokens base_score score word_score",
     "op6_language_id": "doc_id held_out lang_pred score",
     "op7_repeated_strings": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op8_near_duplicates": "doc_id n_shingles component_id kept",
