@@ -5,13 +5,15 @@ A progressive file sends its coefficients in scans: of a band of frequencies
 (successive approximation). The decoder accumulates the scans into coefficient arrays;
 then it inverts the transform, brings chroma to full size and converts to RGB.
 
-Bits are read one symbol at a time only where a scan's codes vary. Where a table has a
-single code, and in runs of blocks that hold correction bits alone, whole stretches
-are read at once.
+Where a scan's codes vary, symbols are looked up by the next sixteen bits. Where a table
+has a single code, and in runs of blocks that hold correction bits alone, whole
+stretches are read at once.
 
 The format's unit is the quantised coefficient, so bytes are stored without loss as
-coefficients: byte b is the value 256 + b, one for each of a block's 63 places but the
-first. Table values are 1.
+coefficients, one for each of a block's 63 places but the first. The upper seven bits of
+a byte are a magnitude of seven bits with its sign, as the format writes it, the last bit
+is the correction. So a symbol of the first scan takes eight bits, and what repeats in
+the payload repeats byte by byte in the file. Table values are 1.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ ZIGZAG = np.array([
 ])
 _END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 _RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+#: Pixels of one image at most, unless the caller says otherwise: what a header may make a task allocate.
+PIXELS = 1 << 26
 _K = np.arange(8)
 _DCT = np.sqrt(np.where(_K == 0, 1 / 8, 1 / 4))[:, None] * np.cos((2 * _K[None, :] + 1) * _K[:, None] * np.pi / 16)
 #: From 64 coefficients in zigzag order to 64 samples.
@@ -61,36 +65,49 @@ class Bits:
     """The bits of one stretch between markers; past the end there are ones."""
 
     def __init__(self, data: bytes) -> None:
-        self.bits, self.at = np.unpackbits(np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8)), 0
+        self.raw, self.at = data.replace(b"\xff\x00", b"\xff"), 0
+        self.bits = np.unpackbits(np.frombuffer(self.raw, np.uint8))
 
     def take(self, n: int) -> np.ndarray:
         out = self.bits[self.at : self.at + n]
         self.at += n
         return out if len(out) == n else np.append(out, np.ones(n - len(out), np.uint8))
 
+    def _peek(self, n: int) -> int:
+        """The next n bits, 16 at most, as a number."""
+        i = self.at >> 3
+        return int.from_bytes(self.raw[i : i + 3].ljust(3, b"\xff"), "big") >> (24 - (self.at & 7) - n) & ((1 << n) - 1)
+
     def number(self, n: int) -> int:
-        return int("".join(map(str, self.take(n).tolist())) or "0", 2)
+        out = self._peek(n)
+        self.at += n
+        return out
+
+    def signed(self, n: int) -> int:
+        """A value of n magnitude bits: a leading 0 means negative."""
+        v = self.number(n)
+        return v if not n or v >> (n - 1) else v - (1 << n) + 1
 
     def symbol(self, table: Huffman) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | int(self.take(1)[0])
-            if (length, code) in table.codes:
-                return table.codes[length, code]
-        raise ValueError("no such code")
+        length, symbol = divmod(int(table.lookup[self._peek(16)]), 256)
+        if not length or self.at > len(self.bits):
+            raise ValueError("no such code")
+        self.at += length
+        return symbol
 
 
 class Huffman:
     def __init__(self, counts: bytes, symbols: bytes) -> None:
-        self.codes: dict[tuple[int, int], int] = {}
+        #: For every next sixteen bits: 256 times the code's length, and its symbol; 0 where there is no code.
+        self.lookup = np.zeros(1 << 16, np.int32)
         code, k = 0, 0
         for length, n in enumerate(counts, 1):
             for _ in range(n):
-                self.codes[length, code] = symbols[k]
+                self.lookup[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbols[k]
                 code, k = code + 1, k + 1
             code <<= 1
         #: (code length, symbol) if there is only one
-        self.single = next(((k[0], s) for k, s in self.codes.items()), None) if len(self.codes) == 1 else None
+        self.single = divmod(int(self.lookup[0]), 256) if k == 1 else None
 
 
 def _signed(bits: np.ndarray) -> np.ndarray:
@@ -98,7 +115,10 @@ def _signed(bits: np.ndarray) -> np.ndarray:
     n = bits.shape[-1]
     if not n:
         return np.zeros(bits.shape[:-1], np.int64)
-    value = bits @ (1 << np.arange(n - 1, -1, -1, dtype=np.int64))
+    if n <= 8:
+        value = (np.packbits(bits, axis=-1)[..., 0] >> (8 - n)).astype(np.int32)
+    else:
+        value = bits @ (1 << np.arange(n - 1, -1, -1, dtype=np.int64))
     return np.where(bits[..., 0] == 0, value - (1 << n) + 1, value)
 
 
@@ -126,7 +146,7 @@ def _dc(bits: Bits, blocks: list[tuple[Component, np.ndarray, Huffman]], high: i
     for i in range(len(blocks[0][1])):
         for k, (c, b, table) in enumerate(blocks):
             for block in b[i]:
-                last[k] += int(_signed(bits.take(bits.symbol(table))))
+                last[k] += bits.signed(bits.symbol(table))
                 c.coefficients[block, 0] = last[k] << low
 
 
@@ -147,7 +167,7 @@ def _ac_first(bits: Bits, c: Component, blocks: np.ndarray, table: Huffman, firs
             run, size = divmod(bits.symbol(table), 16)
             if size:
                 k += run
-                c.coefficients[block, k] = int(_signed(bits.take(size))) << low
+                c.coefficients[block, k] = bits.signed(size) << low
                 k += 1
             elif run == 15:
                 k += 16
@@ -194,8 +214,19 @@ def _ac_more(bits: Bits, c: Component, blocks: np.ndarray, table: Huffman, first
         at += 1
 
 
-def decode(data: bytes) -> tuple[list[Component], dict]:
-    """Components with their coefficients in zigzag order; width, height, quantisation tables and comments."""
+def decode(data: bytes, most: int = PIXELS) -> tuple[list[Component], dict]:
+    """Components with their coefficients in zigzag order; width, height, quantisation tables and comments.
+
+    A ValueError says that data isn't a progressive Huffman-coded JPEG of one or three
+    components, is damaged or cut off, or announces more than most pixels.
+    """
+    try:
+        return _decoded(data, most)
+    except (ArithmeticError, AttributeError, LookupError, TypeError, struct.error) as e:
+        raise ValueError("a damaged JPEG") from e
+
+
+def _decoded(data: bytes, most: int) -> tuple[list[Component], dict]:
     info: dict = {"tables": {}, "comments": []}
     huffman: dict[int, Huffman] = {}
     parts: list[Component] = []
@@ -222,16 +253,22 @@ def decode(data: bytes) -> tuple[list[Component], dict]:
         elif marker == 0xC2:
             _, info["height"], info["width"], n = struct.unpack(">BHHB", body[:6])
             parts = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            if not info["height"] or not info["width"] or info["height"] * info["width"] > most:
+                raise ValueError("an image without pixels, or of too many")
+            if any(not c.h or not c.v or max(x.h for x in parts) % c.h or max(x.v for x in parts) % c.v for c in parts):
+                raise ValueError("sampling factors that do not divide each other")
             for c in parts:
                 c.lay_out(info["width"], info["height"], max(x.h for x in parts), max(x.v for x in parts))
         elif 0xC0 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise ValueError("not a progressive Huffman-coded JPEG")
         elif marker == 0xDA:
-            end = _END.search(data, at).start()
+            end = _END.search(data, at).start()  # None if the file is cut off
             names = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
             first, last, steps = body[-3:]
             _scan([(c, names[c.name]) for c in parts if c.name in names], _RESTART.split(data[at:end]), restart, huffman, first, last, steps >> 4, steps & 15)
             at = end
+    if len(parts) not in (1, 3) or any(c.table not in info["tables"] or len(info["tables"][c.table]) < 64 for c in parts):
+        raise ValueError("not one or three components, or no quantisation tables for them")
     return parts, info
 
 
@@ -297,7 +334,7 @@ def store(payload: bytes) -> bytes:
     """A colour image, chroma at half size both ways, whose coefficients are payload.
 
     Scans: the first coefficients of all components but their last bit, then that bit; for
-    each component and band the leading eight bits of all values, then the last.
+    each component and band all values but their last bit, then that.
     """
     mcus = max(1, -(-len(payload) // (6 * 63)))
     across = min(4095, int(mcus**0.5) or 1)
@@ -311,14 +348,11 @@ def store(payload: bytes) -> bytes:
     out.append(_segment(0xC2, struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])))
     out += [_table(0, [0]), _start([1, 2, 3], 0, 0, 0, 1), _packed(np.zeros(6 * mcus, np.uint8))]
     out += [_start([1, 2, 3], 0, 0, 1, 0), _packed(np.zeros(6 * mcus, np.uint8))]
-    out.append(_table(16, [8]))
+    out.append(_table(16, [7]))
     for name, bands in BANDS.items():
         for first, last in bands:
             band = own[name][:, first - 1 : last]
-            bits = np.zeros((band.size, 9), np.uint8)  # the code, and 128 + b // 2 in eight bits
-            bits[:, 1] = 1
-            bits[:, 2:] = np.unpackbits(band.reshape(-1, 1), axis=1)[:, :7]
-            out += [_start([name], first, last, 0, 1), _packed(bits.ravel())]
+            out += [_start([name], first, last, 0, 1), (band >> 1).tobytes()]  # the code 0 and seven bits: never 255
     for name, bands in BANDS.items():
         runs = list(_runs(len(own[name])))
         sizes = sorted({s for s, _ in runs}, reverse=True)
@@ -336,4 +370,6 @@ def store(payload: bytes) -> bytes:
 def stored(parts: list[Component], info: dict) -> bytes:
     """The payload of an image made by store()."""
     n = struct.unpack(">Q", info["comments"][0])[0]
-    return (np.concatenate([c.coefficients[:, 1:].ravel() for c in parts]) - 256).astype(np.uint8)[:n].tobytes()
+    values = np.concatenate([c.coefficients[:, 1:].ravel() for c in parts])[:n]
+    high = np.abs(values) >> 1
+    return (np.where(values > 0, high, 127 - high) << 1 | np.abs(values) & 1).astype(np.uint8).tobytes()

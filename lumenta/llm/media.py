@@ -1,7 +1,8 @@
 """Media columns: images as binary columns, decoded to RGB tensors and features.
 
 Payloads are held in progressive JPEGs (jpeg.py), a long one in several images after
-one another, so that no row needs more memory than one image does.
+one another, so that none needs more memory than one image does. The table of images is
+written, and everything else is taken from what is read back.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def padded(data: bytes) -> bytes:
     return data + b"\xff" * ((-len(data) % UNIT) or (0 if data else UNIT))
 
 
-def stored(docs: DataFrame) -> DataFrame:
+def images(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and images, an array of files, of every text; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,15 +39,15 @@ def stored(docs: DataFrame) -> DataFrame:
             held = 0
 
             def out() -> pa.RecordBatch:
-                doc, n, images = zip(*rows, strict=True)
-                return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(images, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "images"])
+                doc, n, files = zip(*rows, strict=True)
+                return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(files, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "images"])
 
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 payload = padded(data)
-                images = [jpeg.store(payload[at : at + IMAGE]) for at in range(0, len(payload), IMAGE)]
-                rows.append((doc, len(data), images))
-                held += sum(map(len, images))
+                files = [jpeg.store(payload[at : at + IMAGE]) for at in range(0, len(payload), IMAGE)]
+                rows.append((doc, len(data), files))
+                held += sum(map(len, files))
                 if held >= HELD:
                     yield out()
                     rows, held = [], 0
@@ -56,27 +57,36 @@ def stored(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, images array<binary>")
 
 
-def tensor(image: bytes) -> np.ndarray:
-    """The full-resolution (height, width, 3) tensor of a progressive JPEG."""
-    return jpeg.rgb(*jpeg.decode(image))
+def tensors(table: DataFrame, column: str = "image", most: int = jpeg.PIXELS) -> DataFrame:
+    """table plus height, width, rgb (rows of pixels, three bytes each) and error of its JPEG column.
 
-
-def tensors(images: DataFrame, column: str = "image") -> DataFrame:
-    """images plus height, width and rgb (rows of pixels, three bytes each) of its JPEG column; null stays null.
-
-    Columns of those names in images are replaced.
+    Null stays null. What can't be decoded, or has more than most pixels, has a null
+    tensor and says why in error. Columns of those names in table are replaced. Tensors
+    are handed on in batches of about 16 MB.
     """
-    keep = [c for c in images.columns if c.lower() not in ("height", "width", "rgb")]
-    source = images.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__image"))
-    schema = images.select(*[F.col(f"`{c}`") for c in keep]).schema.add("height", "integer").add("width", "integer").add("rgb", "binary")
+    new = ("height", "width", "rgb", "error")
+    keep = [c for c in table.columns if c.lower() not in new]
+    source = table.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__image"))
+    schema = table.select(*[F.col(f"`{c}`") for c in keep]).schema.add("height", "integer").add("width", "integer").add("rgb", "binary").add("error", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []
+            held = done = 0
             for i in range(batch.num_rows):
-                x = batch.column(len(keep))[i].as_py()
-                t = None if x is None else tensor(x)
-                h, w, data = (None, None, None) if t is None else (t.shape[0], t.shape[1], t.tobytes())
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, 1) for c in batch.columns[: len(keep)]], pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([data], pa.binary())], names=schema.names)
+                x, row = batch.column(len(keep))[i].as_py(), (None, None, None, None)
+                if x is not None:
+                    try:
+                        t = jpeg.rgb(*jpeg.decode(x, most))
+                        row = (t.shape[0], t.shape[1], t.tobytes(), None)
+                    except ValueError as e:
+                        row = (None, None, None, str(e))
+                rows.append(row)
+                held += len(row[2] or b"")
+                if held >= HELD or i == batch.num_rows - 1:
+                    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*[c.slice(done, len(rows)) for c in batch.columns[: len(keep)]], *cols], names=schema.names)
+                    rows, held, done = [], 0, i + 1
 
     return source.mapInArrow(run, schema)
 
@@ -91,7 +101,7 @@ def feature(images: list[np.ndarray]) -> str:
 
 
 def read_back(rows: DataFrame) -> DataFrame:
-    """Digests of what the images of stored() hold, and a feature of their pixels.
+    """Digests of what the written table of images() holds, and a feature of its pixels.
 
     Everything is taken from the decoded files. Repeated rows are decoded each; an empty
     table gives an empty one.
@@ -100,9 +110,9 @@ def read_back(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for images in batch.column(2):
+            for files in batch.column(2):
                 payload, pixels, whole, size = [], [], hashlib.sha256(), 0
-                for image in images.values:
+                for image in files.values:
                     data = image.as_buffer().to_pybytes()
                     whole.update(data)
                     size += len(data)

@@ -24,7 +24,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.stored(documents(spark, sf_dir).select("doc_id", "text")))
+    return media.read_back(stored(media.images(documents(spark, sf_dir).select("doc_id", "text")), "media"))
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lumenta.llm import jpeg, media
 
@@ -145,7 +147,23 @@ def test_decoder_reads_any_scans(h, v, width, height):
     got, info = jpeg.decode(b"".join([*head, b"\xff\xd9"]))
     for a, b in zip(got, parts, strict=True):
         assert (a.coefficients == b.coefficients).all()
-    assert jpeg.rgb(got, info).shape == (height, width, 3)
+    image, most_h, most_v = jpeg.rgb(got, info), h, v
+    assert image.shape == (height, width, 3)
+
+    def sample(c, y, x):
+        """A component's sample for a pixel of the image, from its block's coefficients by the definition."""
+        y, x = y * c.v // most_v, x * c.h // most_h
+        grid = np.zeros(64)
+        grid[jpeg.ZIGZAG] = c.coefficients[(y // 8) * c.across + x // 8] * 2.0
+        k = np.arange(8)
+        a = np.where(k == 0, np.sqrt(0.5), 1.0) / 2
+        row, column = (a * np.cos((2 * (i % 8) + 1) * k * np.pi / 16) for i in (y, x))
+        return min(255.0, max(0.0, row @ grid.reshape(8, 8) @ column + 128))
+
+    for y, x in [(0, 0), (height - 1, width - 1), *zip(rng.integers(0, height, 40).tolist(), rng.integers(0, width, 40).tolist(), strict=True)]:
+        luma, blue, red = (sample(c, y, x) for c in parts)
+        want = np.clip([luma + 1.402 * (red - 128), luma - 0.344136 * (blue - 128) - 0.714136 * (red - 128), luma + 1.772 * (blue - 128)], 0, 255)
+        assert np.abs(want - image[y, x]).max() <= 0.6
 
 
 def test_inverse_transform_against_its_definition():
@@ -177,18 +195,49 @@ def check(r, text):
 def test_rows(spark, odd, none, monkeypatch):
     rng = random.Random(1)
     rows = [(i, "".join(rng.choice("abé \n😀") for _ in range(rng.choice([0, 5, 576, 3000, 400_000])))) for i in range(30)]
-    got = {r.doc_id: r for r in media.read_back(media.stored(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    got = {r.doc_id: r for r in media.read_back(media.images(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     for i, t in rows:
         check(got[i], t)
-    seen = media.read_back(media.stored(odd("images"))).collect()
+    seen = media.read_back(media.images(odd("images"))).collect()
     assert len(seen) == 9 and len({r.media_sha256 + r.feature for r in seen if r.doc_id == 7}) == 1
     for r in seen:
         check(r, next(x.text for x in odd().collect() if x.doc_id == r.doc_id))
-    assert media.read_back(media.stored(none)).count() == 0
+    assert media.read_back(media.images(none)).count() == 0
+
+
+def test_feature_against_its_definition(spark):
+    text = "Some text, ünïcode too. " * 40
+    r = media.read_back(media.images(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    t = jpeg.rgb(*jpeg.decode(jpeg.store(media.padded(text.encode())))).astype(float)
+    assert r.feature == f"{t.shape[0]}x{t.shape[1]}x1;" + ",".join(f"{t[:, :, k].mean():.2f}/{t[:, :, k].std():.2f}" for k in range(3))
 
 
 def test_tensors(spark):
-    df = spark.createDataFrame([(1, jpeg.store(b"abc" * 700), "x"), (2, None, "y")], "i int, image binary, width string")
+    good = jpeg.store(b"abc" * 700)
+    df = spark.createDataFrame([(1, good, "x"), (2, None, "y")], "i int, image binary, width string")
     got = {r.i: r for r in media.tensors(df).collect()}
-    t = media.tensor(jpeg.store(b"abc" * 700))
-    assert got[1].rgb == t.tobytes() and (got[1].height, got[1].width) == t.shape[:2] and got[2].rgb is None
+    t = jpeg.rgb(*jpeg.decode(good))
+    assert got[1].rgb == t.tobytes() and (got[1].height, got[1].width) == t.shape[:2] and got[1].error is None
+    assert got[2].rgb is None and got[2].error is None
+
+
+def test_damaged_images_have_an_error(spark):
+    good = jpeg.store(b"abc" * 700)
+    at = good.index(b"\xff\xc2")
+    bad = [b"", b"no image", good[:100], good[: len(good) // 2], good[: at + 6], good[: at + 1] + b"\xc0" + good[at + 2 :], good[: at + 5] + b"\xff\xff\xff\xff" + good[at + 9 :], good.replace(b"\xff\xc4", b"\xff\xfe")]
+    got = media.tensors(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate([*bad, good])], "i int, image binary")).collect()
+    assert len(got) == len(bad) + 1
+    for r in got:
+        assert (r.error is None) == (r.rgb is not None) == (r.i == len(bad)), r.i
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3000), st.integers(0, 255)), min_size=1, max_size=6))
+def test_any_damage_is_a_value_error_or_an_image(changes):
+    data = bytearray(jpeg.store(b"abc" * 700))
+    for i, x in changes:
+        data[i % len(data)] = x
+    try:
+        jpeg.rgb(*jpeg.decode(bytes(data), 1 << 18))
+    except ValueError:
+        pass
