@@ -114,10 +114,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     each other by text; extra columns are dropped; an empty table gives an empty one.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chained = with_next(trees(texts, tree="text"), ["text", "tree"])
+    chained = with_next(texts, ["text"])  # texts alone are shuffled: a tree is quicker made again than moved
     k = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) AS int))"), F.col("next_text").substr(F.lit(1), k))
-    full = trees(chained.withColumn("edited", edited), edited_tree="edited")
+    full = trees(chained.withColumn("edited", edited), tree="text", edited_tree="edited", next_tree="next_text")
     return full.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         printed(F.col("tree")).alias("fingerprint"), printed(F.col("edited_tree")).alias("edited_fingerprint"),

@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenta.llm import tokens
+from lumenta.llm.common import stored
+from lumenta.sources import ranges
 
 #: Bytes of a block; even, so that no id is cut.
 BLOCK = 1 << 20
@@ -66,17 +68,23 @@ def flatten(docs: DataFrame, separator: int = 50256, vocabulary: str | None = No
 
 
 def read_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(file, block, data) of flat binary files at path, one row for each block; a file must fit in one task."""
+    """(file, block, data) of the flat binary files at path, a file or a folder, one row for each block.
+
+    The driver lists files and sizes; blocks are read as ranges of bytes, each by itself,
+    so files may be of any size. path is one that Arrow opens on driver and executors
+    alike. An empty file has no blocks.
+    """
+    listed = spark.createDataFrame(ranges.sizes(path), "file string, size long").where("size > 0")
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long")))
+    wanted = listed.select("file", "size", start.alias("start")).repartition(spark.sparkContext.defaultParallelism, "file", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                view = data.as_buffer()
-                for i, at in enumerate(range(0, len(view), block)):
-                    part = view[at : at + block].to_pybytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([part], pa.binary())], names=["file", "block", "data"])
+            for file, size, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = ranges.read(file, at, min(block, size - at))
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at // block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+    return wanted.mapInArrow(run, "file string, block long, data binary")
 
 
 def scan(blocks: DataFrame, separator: int = 50256, dtype: str = "<u2") -> DataFrame:
@@ -85,6 +93,8 @@ def scan(blocks: DataFrame, separator: int = 50256, dtype: str = "<u2") -> DataF
     start counts tokens from the file's beginning, n_tokens leaves the separator out. Two
     separators in a row are an empty document. Tokens after a file's last separator are a
     document that hasn't ended. Null or empty blocks hold nothing; no blocks, no rows.
+    What the prefix scan of a file sees is four numbers a block; the places found are
+    written, and joined to it afterwards.
     """
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,15 +104,17 @@ def scan(blocks: DataFrame, separator: int = 50256, dtype: str = "<u2") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array(at, pa.list_(pa.int64()))], names=["file", "block", "held", "ends"])
 
     kind = f"file {blocks.schema['file'].dataType.simpleString()}, block long, held long, ends array<long>"
-    summary = blocks.select("file", F.col("block").cast("long"), "data").mapInArrow(ends, kind)
-    order = W.partitionBy("file").orderBy("block")
+    places = stored(blocks.select("file", F.col("block").cast("long"), "data").mapInArrow(ends, kind), "ends")
+    summary = places.select(F.col("file").alias("__f"), F.col("block").alias("__b"), "held", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("final"))
+    order = W.partitionBy("__f").orderBy("__b")
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
-    based = summary.select("*", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("docs_before"), F.lead("block").over(order).isNull().alias("last"))
-    known = based.withColumn("final", F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1)))
-    stitched = known.withColumn("carry", F.coalesce(F.max("final").over(earlier), F.lit(0)))
+    based = summary.select("*", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("docs_before"), F.lead("__b").over(order).isNull().alias("last"))
+    stitched = based.withColumn("final", F.col("final") + F.col("base")).withColumn("carry", F.coalesce(F.max("final").over(earlier), F.lit(0)))
     open_end = F.col("last") & (F.col("base") + F.col("held") > F.coalesce(F.col("final"), F.col("carry")))
-    all_ends = F.concat(F.transform("ends", lambda e: e + F.col("base")), F.when(open_end, F.array(F.col("base") + F.col("held"))).otherwise(F.array().cast("array<long>")))
-    each = stitched.withColumn("open_end", open_end).withColumn("all", all_ends).select("*", F.posexplode("all").alias("i", "end"))
+    stitched = stitched.select("__f", "__b", "base", "docs_before", "carry", (F.col("base") + F.col("held")).alias("until"), open_end.alias("open_end"))
+    joined = places.join(stitched, F.col("file").eqNullSafe(F.col("__f")) & F.col("block").eqNullSafe(F.col("__b")))
+    all_ends = F.concat(F.transform("ends", lambda e: e + F.col("base")), F.when(F.col("open_end"), F.array("until")).otherwise(F.array().cast("array<long>")))
+    each = joined.withColumn("all", all_ends).select("*", F.posexplode("all").alias("i", "end"))
     ended = ~(F.col("open_end") & (F.col("i") == F.size("all") - 1))
     start = F.when(F.col("i") == 0, F.col("carry")).otherwise(F.get("all", F.col("i") - 1))
     return each.select("file", (F.col("docs_before") + F.col("i")).alias("nth"), start.alias("start"), (F.col("end") - start - ended.cast("long")).alias("n_tokens"), ended.alias("ended"), "block", F.col("i").alias("nth_in_block"))

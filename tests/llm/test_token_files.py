@@ -45,6 +45,22 @@ def test_plain_files(spark, tmp_path):
     assert sorted((r.start, r.n_tokens, r.ended) for r in got) == by_hand(ids, 9)
 
 
+@pytest.mark.parametrize("name", ["", "file:", "file://"])
+def test_files_are_read_in_ranges(spark, tmp_path, name):
+    rng = random.Random(9)
+    files = {f"f{i}.bin": [rng.choice([1, 2, 3, 9]) for _ in range(n)] for i, n in enumerate([0, 1, 1000, 777])}
+    for f, ids in files.items():
+        (tmp_path / f).write_bytes(np.array(ids, "<u2").tobytes())
+    (tmp_path / "_SUCCESS").write_bytes(b"x")
+    blocks = token_files.read_files(spark, f"{name}{tmp_path}", block=128)
+    assert blocks.count() == sum(-(-2 * len(x) // 128) for x in files.values())
+    got = token_files.scan(blocks, 9).collect()
+    for f, ids in files.items():
+        assert sorted((r.start, r.n_tokens, r.ended) for r in got if r.file.endswith(f)) == by_hand(ids, 9)
+    one = token_files.scan(token_files.read_files(spark, f"{name}{tmp_path}/f2.bin", block=100), 9).collect()
+    assert sorted((r.start, r.n_tokens, r.ended) for r in one) == by_hand(files["f2.bin"], 9)
+
+
 def test_odd_rows(spark, odd, none):
     got = token_files.counted(token_files.flatten(odd("file"))).collect()
     assert len(got) == 9 and [r.n_tokens for r in got if r.doc_id == 2] == [0]
