@@ -1,7 +1,7 @@
 """CSR files: int64 rows, columns, entries; int64 indptr; int32 indices; float32 values.
 
 Partitions are ranges of rows, and each reads only its part of the file, so a file of
-any size is read in parallel. The path must be one that executors can open.
+any size is read in parallel, from any file system that Arrow opens.
 """
 
 from __future__ import annotations
@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lumenta.sources import ranges
+
 ROWS = 50_000
 HEADER = 24
 
@@ -24,31 +27,32 @@ class _Rows(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, path: str) -> None:
         self.path = path
-        with open(path, "rb") as f:
-            self.shape = np.fromfile(f, "<i8", 3)
-        if len(self.shape) < 3:
-            raise ValueError("the file has no header")
+        self.shape = self._numbers(0, "<i8", 3, "the file has no header")
+
+    def _numbers(self, start: int, kind: str, n: int, fault: str = "the file is cut off") -> np.ndarray:
+        size = n * np.dtype(kind).itemsize
+        got = ranges.read(self.path, start, size)
+        if len(got) < size:
+            raise ValueError(fault)
+        return np.frombuffer(got, kind)
 
     def partitions(self) -> list[_Rows]:
         n = int(self.shape[0])
         return [_Rows(i, min(n, i + ROWS)) for i in range(0, n, ROWS)] or [_Rows(0, 0)]
 
-    def read(self, partition: _Rows) -> Iterator[tuple]:
+    def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
         n, _, entries = map(int, self.shape)
-        with open(self.path, "rb") as f:
-            f.seek(HEADER + 8 * partition.first)
-            at = np.fromfile(f, "<i8", partition.last - partition.first + 1)
-            if partition.last > partition.first and len(at) < 2:
-                raise ValueError("the file is cut off")
-            lo, hi = (int(at[0]), int(at[-1])) if len(at) else (0, 0)
-            base = HEADER + 8 * (n + 1)
-            f.seek(base + 4 * lo)
-            indices = np.fromfile(f, "<i4", hi - lo)
-            f.seek(base + 4 * entries + 4 * lo)
-            values = np.fromfile(f, "<f4", hi - lo)
-        for i in range(partition.last - partition.first):
-            a, b = int(at[i]) - lo, int(at[i + 1]) - lo
-            yield partition.first + i, indices[a:b].tolist(), values[a:b].tolist()
+        rows = partition.last - partition.first
+        if not rows:
+            return
+        at = self._numbers(HEADER + 8 * partition.first, "<i8", rows + 1)
+        lo, hi = int(at[0]), int(at[-1])
+        base = HEADER + 8 * (n + 1)
+        indices = self._numbers(base + 4 * lo, "<i4", hi - lo)
+        values = self._numbers(base + 4 * (entries + lo), "<f4", hi - lo)
+        offsets = pa.array(at - lo, pa.int32())
+        columns = [pa.array(np.arange(partition.first, partition.last)), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (indices, values))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "indices", "values"])
 
 
 class CsrSource(DataSource):

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenta.operators.score import small
 from lumenta.types import MAX_DIM
 
 
@@ -71,8 +72,14 @@ def positive_components(embeddings: DataFrame) -> DataFrame:
     return long.where("value > 0").select("doc_id", "term", F.col("value").cast("double").alias("value"))
 
 
-def lexical(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Entries log(1 + tf) of lower-cased a-z tokens, each token its own term: no vocabulary is numbered, bounded or broadcast."""
+def lexical(documents: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """Entries log(1 + tf) of lower-cased a-z tokens, each token its own term: no vocabulary is numbered or bounded.
+
+    With only (term), for a search, other tokens go before they are counted.
+    """
     token = F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
-    counts = documents.select(F.col(key), token.alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tokens = documents.select(F.col(key), token.alias("term"))
+    if only is not None:
+        tokens = tokens.join(small(only.select("term").distinct()), "term", "left_semi")
+    counts = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
     return counts.select(key, "term", F.log1p("tf").alias("value"))
