@@ -18,11 +18,14 @@ MODULUS = 2_147_483_647
 def centroids(lists: DataFrame, beta: int) -> DataFrame:
     """(term, cluster_id, doc_id): beta documents of each list, the square root of its length if beta is 0, at least one."""
     mixed = (F.pmod("doc_id", F.lit(MODULUS)) * F.lit(1_103_515_245) + F.col("term").cast("bigint") * 12_345 + SEED) % MODULUS
-    sized = lists.select("term", "doc_id", F.count("*").over(W.partitionBy("term")).alias("n"))
-    wanted = F.floor(F.sqrt(F.col("n").cast("double"))) if beta == 0 else F.lit(beta)
     nth = F.row_number().over(W.partitionBy("term").orderBy(mixed, "doc_id"))
-    ranked = sized.select("term", "doc_id", "n", nth.alias("nth"))
-    return ranked.where(F.col("nth") <= F.greatest(F.lit(1), F.least(wanted, F.col("n")))).select("term", (F.col("nth") - 1).alias("cluster_id"), "doc_id")
+    ranked = lists.select("term", "doc_id", nth.alias("nth"))
+    if beta:  # ranks are cut below the window's shuffle
+        kept = ranked.where(F.col("nth") <= max(1, beta))
+    else:
+        sizes = lists.groupBy("term").agg(F.greatest(F.lit(1), F.floor(F.sqrt(F.count("*").cast("double")))).alias("wanted"))
+        kept = ranked.join(sizes, "term").where(F.col("nth") <= F.col("wanted"))
+    return kept.select("term", (F.col("nth") - 1).alias("cluster_id"), "doc_id")
 
 
 def assigned(lists: DataFrame, vectors: DataFrame, beta: int) -> DataFrame:

@@ -26,6 +26,13 @@ def pruned(postings: DataFrame, lam: int) -> DataFrame:
 
 
 def query_cut(queries: DataFrame, cut: int) -> DataFrame:
-    """The cut heaviest terms of each query, ties by term, with their place from 1."""
-    order = W.partitionBy("qid").orderBy(F.desc("weight"), "term")
+    """The cut heaviest terms of each query, ties by term, with their place from 1.
+
+    If queries have pos, a query of at most cut terms keeps them in that order.
+    """
+    order = [F.desc("weight"), F.asc("term")]
+    if "pos" in queries.columns:
+        short = F.count("*").over(W.partitionBy("qid")) <= cut
+        queries, order = queries.withColumn("__given", F.when(short, F.col("pos"))), [F.asc("__given"), *order]
+    order = W.partitionBy("qid").orderBy(*order)
     return queries.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cut).select("qid", "term", "weight", "place")

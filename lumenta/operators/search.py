@@ -17,14 +17,23 @@ def brute(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Over all documents, also those of score 0 or below.
 
     A document without a common term scores 0 and matters only where a query has fewer
-    than k documents above 0; only such queries are completed with the others.
+    than k documents above 0. Such a query, if it shares terms with m documents, is
+    completed from the k + m least ids, of which at least k share none.
     """
     scored = topk.rounded(score.products(vectors, queries))
-    best = topk.top_k(scored, k).where("score > 0")
-    lacking = queries.select("qid").distinct().join(best.groupBy("qid").count().where(F.col("count") >= k), "qid", "left_anti")
-    everything = lacking.crossJoin(vectors.select("doc_id").distinct())
-    zeros = everything.join(scored, ["qid", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return topk.top_k(scored.unionByName(zeros.select("qid", "doc_id", "score")), k)
+    best = scratch(topk.top_k(scored, k), "best")
+    full = best.where("score > 0").groupBy("qid").count().where(F.col("count") >= k)
+    lacking = scratch(queries.select("qid").distinct().join(full, "qid", "left_anti"), "lacking")
+    if lacking.isEmpty():
+        return best
+    own = scratch(scored.join(lacking, "qid", "left_semi"), "scored")
+    wanted = lacking.join(own.groupBy("qid").agg(F.count("*").alias("m")), "qid", "left").withColumn("m", F.coalesce("m", F.lit(0)) + k)
+    most = wanted.agg(F.max("m")).first()[0]
+    least = vectors.select("doc_id").distinct().orderBy("doc_id").limit(most)
+    numbered = least.select("doc_id", F.row_number().over(W.orderBy("doc_id")).cast("long").alias("nth"))
+    slots = wanted.select("qid", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("nth"))
+    zeros = slots.join(numbered, "nth").join(own, ["qid", "doc_id"], "left_anti").select("qid", "doc_id", F.lit(0.0).alias("score"))
+    return best.join(lacking, "qid", "left_anti").unionByName(topk.top_k(own.unionByName(zeros), k))
 
 
 def inverted(lists: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -33,12 +42,18 @@ def inverted(lists: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def maxscore(lists: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The answer of inverted(), with fewer postings scored; weights must not be negative.
+    """The answer of inverted(), with fewer documents scored; weights must not be negative."""
+    candidates = essential(lists, stats, queries, k)
+    return topk.top_k(topk.rounded(score.of_candidates(lists, queries, candidates)).where("score > 0"), k)
+
+
+def essential(lists: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Candidates (qid, doc_id) that have one of their query's essential terms.
 
     Full scores of the k best documents of each query's strongest term give a threshold
     that the k-th result reaches. Terms whose bounds together stay below it are not
     essential: a document that has only such terms cannot be a result. So candidates come
-    from essential terms, and only they are scored in full.
+    from essential terms.
     """
     bound = queries.join(stats, "term").withColumn("bound", F.col("weight") * F.col("max_value"))
     rising = W.partitionBy("qid").orderBy("bound", "term")
@@ -47,9 +62,8 @@ def maxscore(lists: DataFrame, stats: DataFrame, queries: DataFrame, k: int) ->
     first = ranked.where("nth = 1").select("qid", "term", "weight")
     seeds = topk.top_k(score.products(lists, first), k).select("qid", "doc_id")
     theta = scratch(topk.thresholds(score.of_candidates(lists, queries, seeds), k), "theta")
-    essential = ranked.join(theta, "qid", "left").where(F.col("up_to") >= F.coalesce("theta", F.lit(0.0)) - 1e-5).select("qid", "term")
-    candidates = essential.join(lists, "term").select("qid", "doc_id").distinct()
-    return topk.top_k(topk.rounded(score.of_candidates(lists, queries, candidates)).where("score > 0"), k)
+    needed = ranked.join(theta, "qid", "left").where(F.col("up_to") >= F.coalesce("theta", F.lit(0.0)) - 1e-5).select("qid", "term")
+    return needed.join(lists, "term").select("qid", "doc_id").distinct()
 
 
 def exact(vectors: DataFrame, queries: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -65,10 +79,11 @@ def quantized(codes: DataFrame, queries: DataFrame, quantizer: object, query_qua
     return topk.top_k(scored, k).withColumn("score", F.round(quantizer.decode_dot(F.col("score"), query_quantizer), topk.DIGITS))
 
 
-def deduplicated(scores: DataFrame, groups: DataFrame, group: str, k: int) -> DataFrame:
-    """The k best groups (doc_id, group), each by its best document."""
+def deduplicated(scores: DataFrame, groups: DataFrame, group: str, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """The k best groups (doc_id, group), each by its best document; filled with pads for each qid of queries, if given."""
     best = topk.best_of_each(scores.join(groups, "doc_id"), group)
-    return topk.top_k(best.select("qid", "doc_id", "score"), k)
+    top = topk.top_k(best.select("qid", "doc_id", "score"), k)
+    return top if queries is None else topk.padded(top, queries, k)
 
 
 def clustered(index: dict[str, DataFrame], queries: DataFrame, k: int, params: SearchParameters, docs: DataFrame | None = None, integer: bool = False) -> DataFrame:
@@ -78,7 +93,8 @@ def clustered(index: dict[str, DataFrame], queries: DataFrame, k: int, params: S
     are found. Candidates are scored with the whole query, so scores may be 0 or less.
     """
     if params.mode == "sequential":
-        return sequential(index, queries, k, params, docs)
+        return sequential(index, queries, k, params, docs, integer)
+    queries = queries.drop("pos")
     cut = postings.query_cut(queries, params.cut)
     members = index["members"] if docs is None else index["members"].join(docs.select("doc_id"), "doc_id", "left_semi")
     if params.mode == "exhaustive":
@@ -108,18 +124,20 @@ def surviving(scored: DataFrame, cut: DataFrame, members: DataFrame, vectors: Da
     return found.unionByName(seed_docs).distinct()
 
 
-def sequential(index: dict[str, DataFrame], queries: DataFrame, k: int, params: SearchParameters, docs: DataFrame | None = None) -> DataFrame:
+def sequential(index: dict[str, DataFrame], queries: DataFrame, k: int, params: SearchParameters, docs: DataFrame | None = None, integer: bool = False) -> DataFrame:
     """One list after the other with a moving threshold, one query a task.
 
     The first list's clusters are taken by falling summary score, and the first that
     cannot reach the k-th best so far ends it; later lists go in stored order, and such
-    clusters are skipped. What a query's task holds is its cut terms' clusters.
+    clusters are skipped. Lists go by falling weight; those of a query of at most cut
+    terms go in the order of pos, if queries have it. What a query's task holds is its
+    cut terms' clusters.
     """
     members = index["members"] if docs is None else index["members"].join(docs.select("doc_id"), "doc_id", "left_semi")
     cut = postings.query_cut(queries, params.cut)
     scored = clusters.summary_scores(cut, queries, index["summaries"])
     pairs = scored.join(members, ["term", "cluster_id"]).select("qid", "term", "cluster_id", "s_score", "doc_id")
-    full = score.of_candidates(index["vectors"], queries, pairs.select("qid", "doc_id").distinct())
+    full = score.of_candidates(index["vectors"], queries, pairs.select("qid", "doc_id").distinct(), integer=integer)
     rows = pairs.join(full, ["qid", "doc_id"]).join(cut.select("qid", "term", "place"), ["qid", "term"])
 
     def run(f: pd.DataFrame) -> pd.DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 VEC = "emb AS (SELECT vec_id AS doc_id, (i - 1)::INT AS term, embedding[i]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings) WHERE embedding[i] > 0)"
-BATCH = "q AS (SELECT doc_id AS qid, term, value AS weight FROM emb WHERE doc_id < 20)"
+BATCH = "q AS (SELECT doc_id AS qid, term, value AS weight FROM emb WHERE doc_id % 100 = 0)"
 BASE = f"WITH {VEC}, {BATCH}"
 SCORED = "scored AS (SELECT qid, doc_id, round(sum(value * weight), 6) AS score FROM emb JOIN q USING (term) GROUP BY qid, doc_id)"
 
@@ -42,11 +42,13 @@ summaries AS (SELECT term, cluster_id, s_term, s_value FROM parts WHERE part < 0
 CUT = "cut AS (SELECT * FROM (SELECT qid, term, weight, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, term) AS place FROM q) WHERE place <= 3)"
 SUMMED = """summed AS (SELECT c.qid, s.term, s.cluster_id, round(coalesce(sum(s.s_value * q.weight), 0), 9) AS s_score FROM cut c JOIN summaries s ON s.term = c.term
   LEFT JOIN q ON q.qid = c.qid AND q.term = s.s_term GROUP BY 1, 2, 3)"""
-BUILT = f"{BASE}, {LISTS}, {HEADS}, {MEMBERS}, {POOLED}, {SUMMARIES}, {CUT}, {SUMMED}, {SCORED}"
+PARTS = f"{LISTS}, {HEADS}, {MEMBERS}, {POOLED}, {SUMMARIES}, {CUT}, {SUMMED}, {SCORED}"
+BUILT = f"{BASE}, {PARTS}"
+CODED = f"WITH {VEC.replace('emb AS', 'raw AS')}, emb AS (SELECT doc_id, term, {code('value', 255)}::DOUBLE AS value FROM raw), {BATCH}, {PARTS}"
 
 
-def setwise(factor: float, members: str = "members") -> str:
-    return f"""{BUILT}, own AS (SELECT * FROM {members}),
+def setwise(factor: float, members: str = "members", built: str = BUILT) -> str:
+    return f"""{built}, own AS (SELECT * FROM {members}),
 sizes AS (SELECT term, cluster_id, count(*) AS n FROM own GROUP BY 1, 2),
 firsts AS (SELECT s.*, coalesce(sum(z.n) OVER (PARTITION BY s.qid ORDER BY s.s_score DESC, s.cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM summed s JOIN cut c ON c.qid = s.qid AND c.term = s.term AND c.place = 1 JOIN sizes z ON z.term = s.term AND z.cluster_id = s.cluster_id),
@@ -63,9 +65,20 @@ EXHAUSTIVE = f"found AS (SELECT DISTINCT c.qid, l.doc_id FROM cut c JOIN lists l
 INVERTED = f"{BASE}, {SCORED} {ranked('scored', more=' WHERE score > 0')}"
 LABELLED = "(SELECT vec_id FROM embeddings WHERE label IN (1, 3, 5))"
 LEX = """dt AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY 1, 2),
-dict AS (SELECT token, row_number() OVER (ORDER BY df DESC, token) - 1 AS term FROM (SELECT token, count(*) AS df FROM dt GROUP BY token) QUALIFY term < 65536),
 bt AS (SELECT item_id AS qid, token, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) GROUP BY 1, 2),
-scored AS (SELECT b.qid, d.doc_id, round(sum(ln(1 + d.tf) * ln(1 + b.tf)), 6) AS score FROM dt d JOIN dict USING (token) JOIN bt b USING (token) GROUP BY 1, 2)"""
+scored AS (SELECT b.qid, d.doc_id, round(sum(ln(1 + d.tf) * ln(1 + b.tf)), 6) AS score FROM dt d JOIN bt b USING (token) GROUP BY 1, 2)"""
+SETWISE_SQ = f"SELECT qid, rank, doc_id, round(score * (0.6::DOUBLE * 0.6::DOUBLE) / (255.0::DOUBLE * 255.0::DOUBLE), 6) AS score FROM ({setwise(1.0, built=CODED)})"
+EVERY_LABELLED = "every AS (SELECT x.qid, d.doc_id, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT qid FROM q) x CROSS JOIN (SELECT DISTINCT doc_id FROM emb WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label = 3)) d LEFT JOIN scored s USING (qid, doc_id))"
+BY_LABEL = "best AS (SELECT qid, doc_id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.qid, e.label ORDER BY s.score DESC, s.doc_id) AS n FROM scored s JOIN embeddings e ON e.vec_id = s.doc_id) WHERE n = 1)"
+
+
+EXACT = f"{BASE}, {SCORED}, every AS (SELECT x.qid, d.doc_id, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT qid FROM q) x CROSS JOIN (SELECT DISTINCT doc_id FROM emb WHERE doc_id % 50 = 7 AND doc_id < 500) d LEFT JOIN scored s USING (qid, doc_id)) {padded(ranked('every'), 'q')}"
+
+
+def with_pads(sql: str, k: int = 10) -> str:
+    """sql's results, padded for each query of the batch."""
+    return f"WITH {VEC}, {BATCH}, top AS ({sql}) {padded('SELECT * FROM top', 'q', k)}"
+
 
 SQL: dict[str, str] = {
     "vectors_to_postings": f"WITH {VEC} SELECT term, doc_id, value FROM emb",
@@ -77,11 +90,12 @@ SQL: dict[str, str] = {
     "postings_lambda": f"WITH {VEC}, {LISTS} SELECT term, doc_id, value FROM lists",
     "query_cut": f"{BASE}, {CUT} SELECT qid, term, weight, place::INT AS place FROM cut",
     "brute_topk": f"{BASE}, {SCORED}, every AS (SELECT x.qid, d.doc_id, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT qid FROM q) x CROSS JOIN (SELECT DISTINCT doc_id FROM emb) d LEFT JOIN scored s USING (qid, doc_id)) {ranked('every')}",
-    "brute_topk_padded": f"{BASE}, few AS (SELECT * FROM emb WHERE doc_id < 5 AND term < 6), own AS (SELECT * FROM q WHERE term < 3), scored AS (SELECT qid, doc_id, round(sum(value * weight), 6) AS score FROM few JOIN own USING (term) GROUP BY 1, 2), every AS (SELECT x.qid, d.doc_id, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT qid FROM own) x CROSS JOIN (SELECT DISTINCT doc_id FROM few) d LEFT JOIN scored s USING (qid, doc_id)) {padded(ranked('every'), 'own')}",
+    "brute_topk_padded": f"{BASE}, {SCORED}, {EVERY_LABELLED} {padded(ranked('every', 100), 'q', 100)}",
     "inverted_topk": INVERTED,
     "inverted_top100": f"{BASE}, {SCORED} {ranked('scored', 100, ' WHERE score > 0')}",
     "maxscore_topk": INVERTED,
-    "dedupe_topk": f"{BASE}, {SCORED}, best AS (SELECT qid, doc_id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.qid, e.label ORDER BY s.score DESC, s.doc_id) AS n FROM scored s JOIN embeddings e ON e.vec_id = s.doc_id) WHERE n = 1) {ranked('best', 5)}",
+    "dedupe_topk": f"{BASE}, {SCORED}, {BY_LABEL} {ranked('best', 5)}",
+    "dedupe_topk_padded": f"{BASE}, {SCORED}, {BY_LABEL} {padded(ranked('best', 15), 'q', 15)}",
     "score_threshold": f"{BASE}, {SCORED} SELECT qid, score AS theta FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS n FROM scored) WHERE n = 10",
     "sq_encode_8bit": f"WITH {VEC} SELECT doc_id, term, {code('value', 255)} AS code FROM emb",
     "sq_encode_16bit": f"WITH {VEC} SELECT doc_id, term, {code('value', 65535)} AS code FROM emb",
@@ -97,18 +111,18 @@ SQL: dict[str, str] = {
     "clustered_exhaustive_topk": f"{BUILT}, {EXHAUSTIVE} {ranked('full_')}",
     "clustered_setwise_topk": setwise(1.0),
     "clustered_setwise_filter_topk": setwise(1.2, "members WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label NOT IN (1, 3, 5))"),
-    "clustered_sq_topk": f"""{BASE}, codes AS (SELECT doc_id, term, {code('value', 255)} AS value FROM emb), qc AS (SELECT qid, term, {code('weight', 255)} AS weight FROM q),
-lists AS (SELECT term, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY value DESC, doc_id) AS nth FROM codes) WHERE nth <= 100),
-cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, term) AS place FROM qc) WHERE place <= 3),
-found AS (SELECT DISTINCT c.qid, l.doc_id FROM cut c JOIN lists l USING (term)), scored AS (SELECT qid, doc_id, sum(value * weight)::BIGINT AS s FROM codes JOIN qc USING (term) GROUP BY 1, 2),
-best AS (SELECT f.qid, f.doc_id, coalesce(s.s, 0) AS s, row_number() OVER (PARTITION BY f.qid ORDER BY coalesce(s.s, 0) DESC, f.doc_id) AS rank FROM found f LEFT JOIN scored s USING (qid, doc_id))
-SELECT qid, rank::INT AS rank, doc_id, round(s::DOUBLE * (0.6::DOUBLE * 0.6::DOUBLE) / (255.0::DOUBLE * 255.0::DOUBLE), 6) AS score FROM best WHERE rank <= 10""",
+    "clustered_sq_topk": SETWISE_SQ,
     "filter_include_topk": f"{BASE}, {SCORED} {ranked('scored', more=f' WHERE score > 0 AND doc_id IN {LABELLED}')}",
     "filter_exclude_topk": f"{BASE}, {SCORED} {ranked('scored', more=f' WHERE score > 0 AND doc_id NOT IN {LABELLED}')}",
-    "exact_match_topk": f"{BASE}, {SCORED}, every AS (SELECT x.qid, d.doc_id, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT qid FROM q) x CROSS JOIN (SELECT DISTINCT doc_id FROM emb WHERE doc_id % 50 = 7 AND doc_id < 500) d LEFT JOIN scored s USING (qid, doc_id)) {padded(ranked('every'), 'q')}",
+    "exact_match_topk": EXACT,
     "idmap_topk": f"{BASE}, {SCORED}, best AS ({ranked('scored', more=' WHERE score > 0 AND (1000 + 3 * doc_id) % 2 = 0')}) SELECT qid, rank, (1000 + 3 * doc_id)::BIGINT AS doc_id, score FROM best",
     "recall_at_k": f"{BUILT}, {EXHAUSTIVE}, found_ AS ({ranked('full_')}), truth AS ({ranked('scored', more=' WHERE score > 0')}) SELECT t.qid, count(f.doc_id)::DOUBLE / count(*) AS recall FROM truth t LEFT JOIN found_ f ON f.qid = t.qid AND f.doc_id = t.doc_id GROUP BY t.qid",
     "store_roundtrip_topk": f"{BASE}, {SCORED} {padded(ranked('scored', more=' WHERE score > 0'), 'q')}",
     "index_include_topk": f"{BASE}, {SCORED}, every AS (SELECT x.qid, d.doc_id, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT qid FROM q) x CROSS JOIN (SELECT DISTINCT doc_id FROM emb WHERE doc_id IN {LABELLED}) d LEFT JOIN scored s USING (qid, doc_id)) {padded(ranked('every'), 'q')}",
+    "index_maxscore_topk": f"{BASE}, {SCORED} {padded(ranked('scored', more=' WHERE score > 0'), 'q')}",
+    "index_exact_topk": EXACT,
+    "factory_seismic_topk": with_pads(setwise(1.0)),
+    "factory_seismic_sq_topk": with_pads(SETWISE_SQ),
+    "idmap_seismic_store_topk": f"{BASE}, {SCORED} SELECT qid, rank, CASE WHEN doc_id < 0 THEN -1 ELSE 1000 + 3 * doc_id END::BIGINT AS doc_id, score FROM ({padded(ranked('scored', more=' WHERE score > 0'), 'q')})",
     "doc_lex_topk": f"WITH {LEX} {ranked('scored', more=' WHERE score > 0')}",
 }

@@ -116,7 +116,8 @@ class Index:
         """
         check_k(k)
         params = params or SearchParameters()
-        q = sources.entries(queries, "qid").withColumnRenamed("value", "weight").withColumn("weight", F.col("weight").cast("double"))
+        ordered = queries.select("qid", F.posexplode(F.arrays_zip("indices", "values")).alias("pos", "e"))
+        q = ordered.select("qid", "pos", F.col("e.indices").alias("term"), F.col("e.values").cast("double").alias("weight"))
         found = self._found(q, k, params, select)
         if found is not None and self.ids is not None:
             found = idmap.to_external(found, self.ids)
@@ -147,8 +148,12 @@ class Index:
         if not self.tables:
             return None
         if self.kind == "inverted":
-            lists = self.tables["postings"]
-            return search.inverted(lists if docs is None else lists.join(docs, "doc_id", "left_semi"), q, k)
+            lists = self.tables["postings"] if docs is None else self.tables["postings"].join(docs, "doc_id", "left_semi")
+            if params.prune:
+                if not q.where("weight < 0").isEmpty():
+                    raise ValueError("pruning needs query weights of 0 or more")
+                return search.maxscore(lists, self.tables["stats"], q, k)
+            return search.inverted(lists, q, k)
         return decode(search.clustered(self.tables | {"vectors": entries}, q, k, params, docs, integer=quantizer is not None))
 
     def search_arrays(self, indptr: np.ndarray, indices: np.ndarray, values: np.ndarray, k: int, params: SearchParameters | None = None, select: Selector | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,11 +1,13 @@
 """Registered queries of the retrieval engine, over embeddings and documents.
 
-The vectors are the positive components of embeddings, the query batch those of the
-first twenty. Clustered queries keep 100 postings of a term in 10 clusters.
+The vectors are the positive components of embeddings; the query batch are those of
+every row whose id is divisible by 100, against all rows. Clustered queries keep 100
+postings of a term in 10 clusters.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +18,12 @@ from lumenta.functions.quantize import Quantizer
 from lumenta.operators import clusters, idmap, postings, score, search, topk
 from lumenta.oracle import SQL
 from lumenta.plans import store
-from lumenta.plans.index import Selector, index_factory
-from lumenta.scratch import scratch
+from lumenta.plans.index import Index, Selector, index_factory
+from lumenta.scratch import scratch, shared_dir
 from lumenta.sources import vectors as sources
 from lumenta.types import SearchParameters
 
-DIM, K, FIRST, LAM, BETA, ALPHA, CUT = 64, 10, 20, 100, 10, 0.4, 3
+DIM, K, EVERY, LAM, BETA, ALPHA, CUT = 64, 10, 100, 100, 10, 0.4, 3
 Q8, Q16 = Quantizer(8, 0.0, 0.6), Quantizer(16, 0.0, 0.6)
 
 
@@ -30,7 +32,7 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch(entries: DataFrame) -> DataFrame:
-    return entries.where(F.col("doc_id") < FIRST).select(F.col("doc_id").alias("qid"), "term", F.col("value").alias("weight"))
+    return entries.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("qid"), "term", F.col("value").alias("weight"))
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,10 +87,10 @@ def brute_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def brute_topk_padded(spark: SparkSession, sf: str) -> DataFrame:
+    """Among the vectors of one label, with pads where there are fewer than 100."""
     e = embeddings(spark, sf)
-    few = e.where("doc_id < 5 AND term < 6")
-    q = batch(e).where("term < 3")
-    return topk.padded(search.brute(few, q, K), q, K)
+    q = batch(e)
+    return topk.padded(search.brute(score.included(e, ids_of(spark, sf, "label = 3")), q, 100), q, 100)
 
 
 def inverted_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,6 +114,13 @@ def dedupe_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.deduplicated(scored, labels(spark, sf), "label", 5)
 
 
+def dedupe_topk_padded(spark: SparkSession, sf: str) -> DataFrame:
+    """One result for each label; there are fewer labels than places."""
+    e = embeddings(spark, sf)
+    q = batch(e)
+    return search.deduplicated(topk.rounded(score.products(e, q)), labels(spark, sf), "label", 15, q)
+
+
 def score_threshold(spark: SparkSession, sf: str) -> DataFrame:
     e = embeddings(spark, sf)
     return topk.thresholds(topk.rounded(score.products(e, batch(e))), K)
@@ -179,13 +188,17 @@ def clustered(mode: str, heap_factor: float = 1.0, condition: str | None = None)
     return run
 
 
-def clustered_sq_topk(spark: SparkSession, sf: str) -> DataFrame:
-    index, q = built(spark, sf)
-    code = lambda df, c: df.withColumn(c, Q8.encode(F.col(c)))
-    lists = postings.pruned(postings.transpose(code(index["vectors"], "value")), LAM)
-    members = lists.select("term", F.lit(0).alias("cluster_id"), "doc_id")
-    found = search.clustered({"vectors": code(index["vectors"], "value"), "members": members}, code(q, "weight"), K, SearchParameters(CUT, mode="exhaustive"), integer=True)
-    return found.withColumn("score", F.round(Q8.decode_dot(F.col("score"), Q8), topk.DIGITS))
+def clustered_sq(mode: str, heap_factor: float = 1.0) -> Callable:
+    """Lists, clusters, summaries and queries all of 8-bit codes."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        e = embeddings(spark, sf).withColumn("value", Q8.encode(F.col("value")))
+        members = scratch(clusters.assigned(postings.pruned(postings.transpose(e), LAM), e, BETA), "members")
+        index = {"vectors": e, "members": members, "summaries": scratch(clusters.summaries(members, e, ALPHA), "summaries")}
+        found = search.clustered(index, batch(e), K, SearchParameters(CUT, heap_factor, mode), integer=True)
+        return found.withColumn("score", F.round(Q8.decode_dot(F.col("score"), Q8), topk.DIGITS))
+
+    return run
 
 
 def filter_topk(exclude: bool) -> Callable:
@@ -219,27 +232,61 @@ def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def store_roundtrip_topk(spark: SparkSession, sf: str) -> DataFrame:
-    import tempfile
+    e = embeddings(spark, sf)
+    return saved(index_factory(spark, DIM, "inverted").add(sources.rows(e)).build()).search(query_rows(e), K)
+
+
+def saved(index: Index) -> Index:
+    """index, stored and loaded again."""
+    path = f"{shared_dir(index.spark)}/index-{uuid.uuid4().hex}"
+    store.save(index, path)
+    return store.load(index.spark, path)
+
+
+def query_rows(e: DataFrame) -> DataFrame:
+    return sources.rows(batch(e).withColumnRenamed("weight", "value"), "qid")
+
+
+def factory_seismic_topk(kind: str) -> Callable:
+    """An index made from a description, from the vectors to the results."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        e = embeddings(spark, sf)
+        index = index_factory(spark, DIM, f"{kind}|lambda={LAM}|beta={BETA}|alpha={ALPHA}").add(sources.rows(e)).build()
+        return saved(index).search(query_rows(e), K, SearchParameters(CUT))
+
+    return run
+
+
+def idmap_seismic_store_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors with ids of their own, added in two parts, built, stored and searched so widely that the answer is exact."""
+    e = embeddings(spark, sf)
+    rows = sources.rows(e).withColumn("doc_id", 1000 + 3 * F.col("doc_id"))
+    index = index_factory(spark, DIM, f"idmap,seismic,lambda=0|beta={BETA}|alpha=1").add_with_ids(rows.where("doc_id % 2 = 0")).add_with_ids(rows.where("doc_id % 2 = 1")).build()
+    return saved(index).search(query_rows(e), K, SearchParameters(DIM))
+
+
+def index_maxscore_topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    return index_factory(spark, DIM, "inverted").add(sources.rows(e)).build().search(query_rows(e), K, SearchParameters(prune=True))
+
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+def index_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """An include filter of no more ids than results: the index answers exactly."""
     e = embeddings(spark, sf)
-    index = index_factory(spark, DIM, "inverted").add(sources.rows(e)).build()
-    path = f"{base.rstrip('/')}/index-{spark.sparkContext.applicationId}"
-    store.save(index, path, mode="overwrite")
-    q = sources.rows(batch(e).withColumnRenamed("weight", "value"), "qid")
-    return store.load(spark, path).search(q, K)
+    index = index_factory(spark, DIM, f"seismic,lambda={LAM}|beta={BETA}|alpha={ALPHA}").add(sources.rows(e)).build()
+    return index.search(query_rows(e), K, select=Selector(ids_of(spark, sf, "vec_id % 50 = 7 AND vec_id < 500")))
 
 
 def index_include_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = embeddings(spark, sf)
     index = index_factory(spark, DIM, "brutal").add(sources.rows(e))
-    q = sources.rows(batch(e).withColumnRenamed("weight", "value"), "qid")
-    return index.search(q, K, select=Selector(ids_of(spark, sf, "label IN (1, 3, 5)")))
+    return index.search(query_rows(e), K, select=Selector(ids_of(spark, sf, "label IN (1, 3, 5)")))
 
 
 def doc_lex_topk(spark: SparkSession, sf: str) -> DataFrame:
-    docs = sources.lexical(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
     q = sources.lexical(spark.read.parquet(f"{sf}/benchmark.parquet").withColumnRenamed("item_id", "qid"), "qid", "text")
+    docs = sources.lexical(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", only=q)
     return search.inverted(docs, q.withColumnRenamed("value", "weight"), K)
 
 
@@ -258,6 +305,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inverted_top100": inverted_top100,
     "maxscore_topk": maxscore_topk,
     "dedupe_topk": dedupe_topk,
+    "dedupe_topk_padded": dedupe_topk_padded,
     "score_threshold": score_threshold,
     "sq_encode_8bit": encoded(Q8),
     "sq_encode_16bit": encoded(Q16),
@@ -274,7 +322,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clustered_setwise_topk": clustered("setwise"),
     "clustered_setwise_filter_topk": clustered("setwise", 1.2, "label NOT IN (1, 3, 5)"),
     "clustered_sequential_topk": clustered("sequential"),
-    "clustered_sq_topk": clustered_sq_topk,
+    "clustered_sq_topk": clustered_sq("setwise"),
+    "clustered_sq_sequential_topk": clustered_sq("sequential"),
     "filter_include_topk": filter_topk(False),
     "filter_exclude_topk": filter_topk(True),
     "exact_match_topk": exact_match_topk,
@@ -282,5 +331,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recall_at_k": recall_at_k,
     "store_roundtrip_topk": store_roundtrip_topk,
     "index_include_topk": index_include_topk,
+    "index_maxscore_topk": index_maxscore_topk,
+    "index_exact_topk": index_exact_topk,
+    "factory_seismic_topk": factory_seismic_topk("seismic,"),
+    "factory_seismic_sq_topk": factory_seismic_topk("seismic_sq,quantizer=8bit|vmin=0|vmax=0.6"),
+    "idmap_seismic_store_topk": idmap_seismic_store_topk,
     "doc_lex_topk": doc_lex_topk,
 }

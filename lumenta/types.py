@@ -33,17 +33,21 @@ class ClusterParameters:
 
 @dataclass(frozen=True)
 class SearchParameters:
-    """cut: heaviest query terms that choose candidates; heap_factor: above 1 looks at more clusters; mode: exhaustive, setwise or sequential."""
+    """cut: heaviest query terms that choose candidates; heap_factor: above 1 looks at more clusters; mode: exhaustive, setwise or
+    sequential; prune: an inverted index skips terms that cannot matter, which needs weights of 0 or more."""
 
     cut: int = 10
     heap_factor: float = 1.0
     mode: str = "setwise"
     vmin: float | None = None
     vmax: float | None = None
+    prune: bool = False
 
     def __post_init__(self) -> None:
         if self.cut <= 0:
             raise ValueError("cut must be positive")
+        if not self.heap_factor >= 0:
+            raise ValueError("heap_factor must be 0 or more")
         if self.mode not in ("exhaustive", "setwise", "sequential"):
             raise ValueError(f"unknown mode {self.mode}")
 

@@ -39,6 +39,7 @@ def found(spark, docs, kind, maps, query, k, dim=8, params=None, select=None):
     return hits(index.search(docs(*query, key="qid"), k, params, select))
 
 
+# fixed values: small inputs whose answers are known
 MAPS = [{0: 1.0, 1: 0.5}, {0: 0.8, 2: 0.6}, {1: 0.9, 3: 0.7}]
 SIX = [{0: 1.0, 1: 0.5}, {0: 0.9}, {1: 0.8, 2: 0.3}, {2: 0.7}, {3: 0.6}, {0: 0.1, 3: 0.4}]
 
@@ -67,8 +68,6 @@ def test_unbuilt_and_empty_indexes_pad(spark, docs):
 @pytest.mark.parametrize("kind", ["seismic", "seismic_sq"])
 @pytest.mark.parametrize("mode", ["exhaustive", "setwise", "sequential"])
 def test_clustered(spark, docs, kind, mode):
-    if kind == "seismic_sq" and mode == "sequential":
-        pytest.skip("codes are scored set-wise")
     p = lambda cut, hf: SearchParameters(cut, hf, mode)
     few = [{0: 0.1}, {0: 0.2}, {0: 0.3}, {0: 0.4}]
     assert found(spark, docs, f"{kind},lambda=2|beta=1|alpha=.5", few, [{0: 1}], 4, params=p(5, 1))[0] == [3, 2, -1, -1]
@@ -132,12 +131,81 @@ def test_maxscore_and_setwise_agree_with_full_search(spark, docs):
     assert {r.recall for r in search.recall(search.inverted(e, q, 5), search.inverted(e, q, 5)).collect()} == {1.0}
 
 
+@pytest.mark.parametrize("negative", [False, True])
+def test_brute_completes_queries_that_lack_results(spark, docs, negative):
+    rng = np.random.default_rng(3)
+    maps = [{int(t): float(rng.choice([-1, 1] if negative else [1]) * rng.uniform(0.1, 1)) for t in rng.choice(30, 3, replace=False)} for _ in range(60)]
+    queries = [{int(t): float(rng.uniform(0.1, 1)) for t in rng.choice(40, 2, replace=False)} for _ in range(8)] + [{39: 1.0}]
+    e, q = entries(docs, *maps), sources.entries(docs(*queries, key="qid"), "qid").withColumnRenamed("value", "weight")
+    got = search.brute(e, q, 12).collect()
+    for i, query in enumerate(queries):
+        scored = sorted((-round(sum(w * np.float32(m.get(t, 0)) for t, w in {t: np.float32(w) for t, w in query.items()}.items()), 6) + 0.0, d) for d, m in enumerate(maps))
+        own = sorted((r for r in got if r.qid == i), key=lambda r: r["rank"])
+        assert [r.doc_id for r in own] == [d for _, d in scored[:12]] and np.allclose([r.score for r in own], [-s for s, _ in scored[:12]], atol=2e-6)
+
+
+def by_hand(lists, summaries, vectors, query, k, cut, factor):
+    """The scan of one query, list by list: lists {term: {cluster: docs}}, summaries {(term, cluster): {term: value}}."""
+    terms = list(query) if len(query) <= cut else sorted(query, key=lambda t: (-query[t], t))[:cut]
+    dot = lambda a: sum(w * a.get(t, 0) for t, w in query.items())
+    heap, skipped = {}, 0
+    for n, t in enumerate(terms):
+        order = sorted(lists.get(t, {}))
+        worth = {c: dot(summaries.get((t, c), {})) for c in order}
+        if n == 0:
+            order.sort(key=lambda c: (-round(worth[c], 9), c))
+        for c in order:
+            if len(heap) >= k and worth[c] * factor < sorted(heap.values())[-k]:
+                skipped += 1
+                if n == 0:
+                    break
+                continue
+            heap |= {d: dot(vectors[d]) for d in lists[t][c]}
+    return sorted(heap, key=lambda d: (-round(heap[d], 6), d))[:k], skipped
+
+
+@pytest.mark.parametrize(("cut", "factor", "codes"), [(3, 1.0, False), (3, 0.7, False), (6, 0.9, False), (3, 0.9, True)])
+def test_sequential_against_a_plain_scan(spark, docs, cut, factor, codes):
+    """Where pruning happens: pages of clusters are skipped, in the same order and by the same threshold."""
+    rng = np.random.default_rng(7)
+    draw = (lambda: int(rng.integers(1, 256))) if codes else (lambda: float(np.float32(rng.uniform(0.1, 1))))
+    maps = [{int(t): draw() for t in rng.choice(25, 6, replace=False)} for _ in range(150)]
+    queries = [{int(t): draw() for t in rng.permutation(25)[:5]} for _ in range(6)]
+    e = entries(docs, *maps)
+    q = docs(*queries, key="qid").select("qid", F.posexplode(F.arrays_zip("indices", "values")).alias("pos", "e")).select("qid", "pos", F.col("e.indices").alias("term"), F.col("e.values").cast("double").alias("weight"))
+    if codes:
+        e, q = e.withColumn("value", F.col("value").cast("long")), q.withColumn("weight", F.col("weight").cast("long"))
+    members = clusters.assigned(postings.pruned(e, 20), e, 5).cache()
+    summaries = clusters.summaries(members, e, 0.4).cache()
+    lists, tops, skipped = {}, {}, 0
+    for r in members.collect():
+        lists.setdefault(r.term, {}).setdefault(r.cluster_id, []).append(r.doc_id)
+    for r in summaries.collect():
+        tops.setdefault((r.term, r.cluster_id), {})[r.s_term] = r.s_value
+    index = {"vectors": e, "members": members, "summaries": summaries}
+    got = search.clustered(index, q, 4, SearchParameters(cut, factor, "sequential"), integer=codes).collect()
+    for i, query in enumerate(queries):
+        want, n = by_hand(lists, tops, maps, query, 4, cut, factor)
+        skipped += n
+        assert [r.doc_id for r in sorted((r for r in got if r.qid == i), key=lambda r: r["rank"])] == want
+    assert skipped > 10
+
+
+def test_pruned_inverted_index(spark, docs):
+    plain = found(spark, docs, "inverted", SIX, [{0: 1, 1: 0.8, 2: 0.5}], 3)
+    assert found(spark, docs, "inverted", SIX, [{0: 1, 1: 0.8, 2: 0.5}], 3, params=SearchParameters(prune=True)) == plain
+    with pytest.raises(ValueError):
+        found(spark, docs, "inverted", SIX, [{0: -1}], 3, params=SearchParameters(prune=True))
+
+
 def test_lambda_and_cut(spark, docs):
     lists = entries(docs, {0: 1}, {0: 4}, {0: 2}, {0: 3})
     for lam, want in ((2, [1, 3]), (0, [0, 1, 2, 3]), (10, [0, 1, 2, 3])):
         assert sorted(r.doc_id for r in postings.pruned(lists, lam).collect()) == want
     q = spark.createDataFrame([(0, i, w) for i, w in enumerate([1.0, 5.0, 3.0, 2.0, 4.0])], "qid long, term int, weight double")
     assert [r.term for r in postings.query_cut(q, 3).orderBy("place").collect()] == [1, 4, 2]
+    q = spark.createDataFrame([(0, p, t, w) for p, (t, w) in enumerate([(10, 3.0), (30, 1.0), (20, 2.0)])], "qid long, pos int, term int, weight double")
+    assert [[r.term for r in postings.query_cut(q, k).orderBy("place").collect()] for k in (3, 9, 2)] == [[10, 30, 20], [10, 30, 20], [10, 20]]
     assert {r.term: r.max_value for r in postings.term_stats(entries(docs, {0: 0.5}, {0: 3.75}, {1: -2.0})).collect()} == {0: 3.75, 1: 0.0}
 
 
@@ -189,7 +257,7 @@ def test_validation(spark, docs):
             sources.validated(df, 8).collect()
     df = spark.createDataFrame([(0, [1, 1], [1.0, 2.0])], "doc_id long, indices array<int>, values array<float>")
     assert sources.validated(df, 8, "sum").first()["values"] == [3.0]
-    for bad in (lambda: sources.validated(df, 0), lambda: topk.top_k(df, 0), lambda: SearchParameters(cut=0), lambda: ClusterParameters(beta=-2), lambda: SearchParameters(mode="x")):
+    for bad in (lambda: sources.validated(df, 0), lambda: topk.top_k(df, 0), lambda: SearchParameters(cut=0), lambda: ClusterParameters(beta=-2), lambda: SearchParameters(mode="x"), lambda: SearchParameters(heap_factor=-1)):
         with pytest.raises(ValueError):
             bad()
     with pytest.raises(ValueError):
@@ -211,6 +279,8 @@ def test_dedupe_and_thresholds(spark):
     s = spark.createDataFrame([(0, 1, 5.0), (0, 2, 3.0), (0, 3, 7.0), (0, 4, 9.0)], "qid long, doc_id long, score double")
     g = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "doc_id long, g string")
     assert hits(search.deduplicated(s, g, "g", 2)) == ([4, 1], [9.0, 5.0])
+    asked = spark.createDataFrame([(0,), (0,), (1,)], "qid long")
+    assert hits(search.deduplicated(s, g, "g", 3, asked)) == ([4, 1, -1, -1, -1, -1], [9.0, 5.0, -1.0, -1.0, -1.0, -1.0])
     s = spark.createDataFrame([(0, i, v) for i, v in enumerate([1.0, 5.0, 3.0, 0.5, 4.0])], "qid long, doc_id long, score double")
     assert topk.thresholds(s, 3).first().theta == 3.0 and topk.thresholds(s, 6).count() == 0
 
@@ -248,6 +318,14 @@ def test_csr_files(spark, tmp_path, monkeypatch):
     assert got == {0: ([0, 1], [1, 2]), 1: ([], []), 2: ([4], [3]), 3: ([2, 3], [4, 5]), 4: ([7], [6.5])}
 
 
+def test_cut_off_csr_files(spark, tmp_path):
+    path = tmp_path / "x.csr"
+    csr_file.write_csr(str(path), 8, np.array([0, 2]), np.array([0, 1]), np.array([1, 2]))
+    path.write_bytes(path.read_bytes()[:-1])
+    with pytest.raises(Exception, match="cut off"):
+        csr_file.read_csr(spark, str(path)).collect()
+
+
 def test_streamed_tail(spark, docs, tmp_path):
     docs({0: 1.0}, {0: 3.0}, ids=[10, 11]).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("doc_id long, indices array<int>, values array<float>").parquet(str(tmp_path / "in"))
