@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import WORD, fresh
+from lumenta.llm.common import WORD, fresh, stored
 
 #: Up to so many sources the table of targets is broadcast (under 10 MB); beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
@@ -67,8 +67,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1
     own = {c: fresh(docs, f"__{c}") for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies")}
     kept = docs.withColumnsRenamed(own)
     sized = kept.withColumn("size", words_in("text"))
-    targets = source_targets(sized.select("source", "size"), weights, share, cap).select(F.col("source").alias("__of"), "source_size", "target")
-    if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    targets = stored(source_targets(sized.select("source", "size"), weights, share, cap).select(F.col("source").alias("__of"), "source_size", "target"), "targets")
+    if targets.count() <= BROADCAST_SOURCES:
         joined = sized.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("__of")))
     else:
         salted = targets.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
