@@ -74,15 +74,23 @@ def changed_sections(a: Column, b: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get(a["sections"], i).eqNullSafe(F.get(b["sections"], i)))
 
 
+def _head(text: Column) -> Column:
+    """The first six bytes of texts as a number; texts are ordered as their bytes are."""
+    return F.conv(F.rpad(F.hex(F.substring(F.coalesce(text, F.lit("")).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
+
+
 def with_next(docs: DataFrame, columns: list[str], prefix: str = "next_") -> DataFrame:
     """docs plus the given columns of the next row by descending doc_id, cyclic; ties by text, null ids last.
 
-    Rows are dealt to ranges of ids by quantiles. The first of each range is also sent
-    to the range before it, so that a window in each range sees all neighbours and no
-    window spans the whole table.
+    Rows are dealt to ranges of ids by quantiles, those without an id to ranges of their
+    texts' first bytes. The first of each range is also sent to the range before it, so
+    that a window in each range sees all neighbours and no window spans the whole table.
+    Rows of one id, and rows without an id of which six bytes agree, share a range.
     """
     n = parts(docs.sparkSession)
-    cuts = sorted({x for x in docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []})
+    shares = [i / n for i in range(1, n)] or [0.5]
+    found, lacking = docs.agg(F.percentile_approx("doc_id", shares, 10 * n), F.count_if(F.col("doc_id").isNull())).first()
+    cuts = sorted(set(found or []))
     step = max(1, int(len(cuts) ** 0.5))
     blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)] or [[]]
     firsts = F.array(*[F.lit(b[0]).cast("long") for b in blocks if b]).cast("array<bigint>")
@@ -90,16 +98,22 @@ def with_next(docs: DataFrame, columns: list[str], prefix: str = "next_") -> Dat
     coarse = F.size(F.filter(firsts, lambda x: x <= F.col("doc_id")))
     fine = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + F.size(F.filter(F.get(table, coarse - 1), lambda x: x <= F.col("doc_id"))))
     bucket, sentinel = fresh(docs, "__bucket"), fresh(docs, "__sentinel")
-    ranged = docs.withColumn(bucket, F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(fine))
-    # at most one entry for each range: the ranges that have rows, and each one's largest id
-    largest = sorted(((r[0], r[1]) for r in ranged.groupBy(bucket).agg(F.max("doc_id")).collect()), reverse=True)
+    none, head = F.col("doc_id").isNull(), _head(F.col("text"))
+    heads = sorted(set(docs.where(none).agg(F.percentile_approx(head, shares, 10 * n)).first()[0] or [])) if lacking else []
+    by_head = F.size(F.filter(F.array(*[F.lit(x) for x in heads]).cast("array<bigint>"), lambda x: x <= head))
+    ranged = docs.withColumn(bucket, F.when(none, -1 - by_head).otherwise(fine))
+    # at most one entry for each range: the ranges that have rows, and each one's largest id, or else the hash of its least text
+    largest = sorted(((r[0], r[1]) for r in ranged.where(~none).groupBy(bucket).agg(F.max("doc_id")).collect()), reverse=True)
+    if lacking:
+        largest += sorted(((r[0], r[1]) for r in ranged.where(none).groupBy(bucket).agg(F.min(F.coalesce("text", F.lit(""))).alias("t")).select(bucket, F.xxhash64("t")).collect()), reverse=True)
     before = {b: largest[i - 1][0] for i, (b, _) in enumerate(largest)}
     of = F.create_map(*[F.lit(x) for b, top in largest for x in (b, top)]).cast("map<int,bigint>") if largest else F.lit(None).cast("map<int,bigint>")
     to = F.create_map(*[F.lit(x) for b in before for x in (b, before[b])]).cast("map<int,int>") if before else F.lit(None).cast("map<int,int>")
     own = F.struct(F.col(bucket).cast("int").alias("b"), F.lit(False).alias("s"))
     sent = F.struct(to[F.col(bucket).cast("int")].alias("b"), F.lit(True).alias("s"))
     at = fresh(ranged, "__at")
-    dealt = ranged.withColumn(at, F.explode(F.when(F.col("doc_id").eqNullSafe(of[F.col(bucket).cast("int")]), F.array(own, sent)).otherwise(F.array(own))))
+    first = F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    dealt = ranged.withColumn(at, F.explode(F.when(first == of[F.col(bucket).cast("int")], F.array(own, sent)).otherwise(F.array(own))))
     dealt = dealt.withColumn(bucket, F.col(at)["b"]).withColumn(sentinel, F.col(at)["s"]).drop(at)
     window = W.partitionBy(bucket).orderBy(sentinel, F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     out = dealt.select("*", *[F.lead(c).over(window).alias(prefix + c) for c in columns])

@@ -39,6 +39,19 @@ def test_branches_locate_an_edit(spark):
     assert r["at"] == [17 // merkle.SECTION] and r.near > 0.95
 
 
+def test_rows_without_ids_are_spread(spark):
+    rng = random.Random(4)
+    rows = [(None, rng.choice(["", None, "common start of all: ", "é"]) or None) for _ in range(20)] + [(None, "".join(rng.choice("abé😀") for _ in range(rng.randint(0, 30)))) for _ in range(200)] + [(i, f"text {i}") for i in range(50)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = merkle.edited_fingerprints(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in got) == by_hand(rows)
+
+
 def test_odd_rows(spark, odd, none):
     got = merkle.edited_fingerprints(odd("bucket")).collect()
     assert sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in got) == by_hand([(r.doc_id, r.text) for r in odd().collect()])
