@@ -48,7 +48,9 @@ def bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
     table = f"loaded_{uuid.uuid4().hex}"
     place = path.replace("'", "\\'")
     spark.sql(f"CREATE TABLE {table} ({VECTORS}) USING parquet CLUSTERED BY (doc_id) INTO {buckets} BUCKETS LOCATION '{place}'")
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalog forgets it, the files and this plan stay
+    return out
 
 
 def load(spark: SparkSession, path: str) -> Index:
