@@ -7,12 +7,20 @@ members' terms, cut to the shortest head that has the part alpha of its mass.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenta.scratch import scratch
+
 SEED = 42
 MODULUS = 2_147_483_647
+#: Postings of one group; and of it, how many rows and centroids are multiplied at once.
+GROUP, ROWS, HEADS = 4096, 256, 64
 
 
 def centroids(lists: DataFrame, beta: int) -> DataFrame:
@@ -31,19 +39,68 @@ def centroids(lists: DataFrame, beta: int) -> DataFrame:
 def assigned(lists: DataFrame, vectors: DataFrame, beta: int) -> DataFrame:
     """(term, cluster_id, doc_id) of every posting; no overlap counts as 0, ties go to the lowest cluster.
 
-    Pairs are those of a list's postings and centroids: at most lam * beta a term. Inner
-    products are found once for each pair of documents, however many lists they share.
+    Pairs are those of a list's postings and centroids: at most lam * beta a term. A list
+    is dealt to groups of about GROUP postings, each beside all of the term's centroids,
+    with their whole vectors; a group's inner products are found together, and only the
+    best centroid of each posting leaves it. Lists and centroids are written first: they
+    are used several times.
     """
-    heads = centroids(lists, beta)
+    lists = scratch(lists.select("term", "doc_id"), "lists")
+    heads = scratch(centroids(lists, beta), "heads")
     others = lists.select("term", "doc_id").join(heads.select("term", "doc_id"), ["term", "doc_id"], "left_anti")
-    pairs = others.join(heads.withColumnRenamed("doc_id", "head"), "term")
-    unique = pairs.select("doc_id", "head").distinct()
-    a = vectors.select("doc_id", F.col("term").alias("t"), F.col("value").alias("x"))
-    b = vectors.select(F.col("doc_id").alias("head"), F.col("term").alias("t"), F.col("value").alias("y")).join(heads.select(F.col("doc_id").alias("head")).distinct(), "head", "left_semi")
-    similar = unique.join(a, "doc_id").join(b, ["head", "t"]).groupBy("doc_id", "head").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("sim"))
-    scored = pairs.join(similar, ["doc_id", "head"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    best = scored.groupBy("term", "doc_id").agg(F.max_by("cluster_id", F.struct("sim", -F.col("cluster_id"))).alias("cluster_id"))
-    return heads.unionByName(best.select("term", "cluster_id", "doc_id"))
+    sizes = others.groupBy("term").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    own = vectors.join(lists.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("term").cast("long").alias("t"), F.col("value").cast("double").alias("x")))).alias("e"))
+    rows = held.select("doc_id", F.col("e.t").alias("t"), F.col("e.x").alias("x"))
+    dealt = others.join(sizes, "term").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int"))
+    beside = heads.join(sizes, "term").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    a = dealt.join(rows, "doc_id").select("term", "g", "doc_id", "t", "x")
+    b = beside.join(rows, "doc_id").select(*[F.col(c).alias(f"head_{c}") for c in ("term", "g", "cluster_id", "t", "x")])
+    best = a.groupBy("term", "g").cogroup(b.groupBy("head_term", "head_g")).applyInArrow(_nearest, f"term {lists.schema['term'].dataType.simpleString()}, cluster_id int, doc_id long")
+    return heads.unionByName(best)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's values begin, with the end of all, and the values."""
+    whole = column.combine_chunks()
+    lengths = whole.value_lengths().to_numpy(zero_copy_only=False)
+    return np.append(0, np.cumsum(lengths)), whole.flatten().to_numpy(zero_copy_only=False)
+
+
+def _nearest(postings: pa.Table, heads: pa.Table) -> pa.Table:
+    """The cluster of each posting, from the postings' and the centroids' vectors (t, x); terms ascend in each."""
+    heads = heads.sort_by("head_cluster_id")
+    begin, terms = _flat(postings.column("t"))
+    values = _flat(postings.column("x"))[1]
+    h_begin, h_terms = _flat(heads.column("head_t"))
+    h_values = _flat(heads.column("head_x"))[1]
+    known = np.unique(h_terms)
+    at = np.searchsorted(known, terms)
+    hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == terms) if len(known) else np.zeros(len(terms), bool)
+    n, row = postings.num_rows, np.repeat(np.arange(postings.num_rows), np.diff(begin))[hit]
+    at, values = at[hit], values[hit]
+    edges = np.searchsorted(row, np.arange(0, n + ROWS, ROWS))
+    best, nearest = np.full(n, -np.inf), np.zeros(n, np.int64)
+    for lo in range(0, heads.num_rows, HEADS):
+        hi = min(heads.num_rows, lo + HEADS)
+        part = slice(h_begin[lo], h_begin[hi])
+        dense = np.zeros((len(known), hi - lo))
+        dense[np.searchsorted(known, h_terms[part]), np.repeat(np.arange(hi - lo), np.diff(h_begin[lo : hi + 1]))] = h_values[part]
+        for k, first in enumerate(range(0, n, ROWS)):
+            own = slice(edges[k], edges[k + 1])
+            sim = np.zeros((min(ROWS, n - first), hi - lo))
+            product = dense[at[own]] * values[own, None]
+            present, start = np.unique(row[own], return_index=True)
+            if len(present):
+                sim[present - first] = np.add.reduceat(product, start, axis=0)
+            sim = np.round(sim, 9)
+            most = sim.argmax(axis=1)
+            value, rows = sim[np.arange(len(sim)), most], slice(first, first + len(sim))
+            better = value > best[rows]
+            nearest[rows] = np.where(better, lo + most, nearest[rows])
+            best[rows] = np.where(better, value, best[rows])
+    clusters = heads.column("head_cluster_id").to_numpy()
+    return pa.table({"term": postings.column("term"), "cluster_id": pa.array(clusters[nearest] if n else [], pa.int32()), "doc_id": postings.column("doc_id")})
 
 
 def summaries(members: DataFrame, vectors: DataFrame, alpha: float = 1.0) -> DataFrame:

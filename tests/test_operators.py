@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +230,31 @@ def test_clusters_partition_each_list(spark, docs):
     assert clusters.centroids(nine, 0).count() == 3 and clusters.centroids(nine.where("doc_id < 2"), 10).count() == 2
 
 
+@pytest.mark.parametrize(("rows", "heads"), [(256, 64), (3, 2)])
+def test_nearest_centroids_against_all_products(monkeypatch, rows, heads):
+    monkeypatch.setattr(clusters, "ROWS", rows)
+    monkeypatch.setattr(clusters, "HEADS", heads)
+    rng = np.random.default_rng(5)
+    draw = lambda n: [dict(sorted((int(t), float(rng.integers(-3, 4))) for t in rng.choice(12, rng.integers(0, 6), replace=False))) for _ in range(n)]
+    a, b = draw(20), draw(7)
+    table = lambda maps, before: pa.table({f"{before}t": pa.array([list(m) for m in maps], pa.list_(pa.int64())), f"{before}x": pa.array([list(m.values()) for m in maps], pa.list_(pa.float64()))})
+    order = rng.permutation(7).tolist()
+    left = table(a, "").append_column("term", pa.array([4] * 20, pa.int32())).append_column("doc_id", pa.array(range(20), pa.int64()))
+    right = table([b[i] for i in order], "head_").append_column("head_cluster_id", pa.array(order, pa.int32()))
+    got = clusters._nearest(left, right).to_pylist()
+    dots = [[sum(x * h.get(t, 0) for t, x in m.items()) for h in b] for m in a]
+    assert got == [{"term": 4, "cluster_id": d.index(max(d)), "doc_id": i} for i, d in enumerate(dots)]
+    assert clusters._nearest(left.slice(0, 0), right).num_rows == 0
+
+
+def test_lists_dealt_to_groups(spark, docs, monkeypatch):
+    rng = np.random.default_rng(6)
+    e = entries(docs, *[{int(t): float(rng.uniform(0.1, 1)) for t in rng.choice(6, 3, replace=False)} for _ in range(50)])
+    want = sorted(map(tuple, clusters.assigned(e, e, 3).select("term", "cluster_id", "doc_id").collect()))
+    monkeypatch.setattr(clusters, "GROUP", 4)
+    assert sorted(map(tuple, clusters.assigned(e, e, 3).select("term", "cluster_id", "doc_id").collect())) == want
+
+
 def test_quantizer(spark):
     q8 = Quantizer(8)
     row = spark.range(1).select(*[q8.encode(F.lit(v)).alias(str(v)) for v in (0.5, -0.5, 1.5)]).first()
