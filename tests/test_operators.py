@@ -380,3 +380,10 @@ def test_lexical_search_finds_tokens_beyond_the_reference_dimension(spark, tmp_p
     one = math.log(2)
     assert len(many) > 65_536
     assert got == [(7, 1, 2, round(math.log(3) * one, 6)), (8, 1, 1, round(one * one, 6)), (8, 2, 3, round(one * one, 6))]
+
+
+@pytest.mark.parametrize("name", ["integer_dot", "row_dot"])
+def test_dense_forms_are_found_once_a_row(spark, name):
+    """Before, the lambda over a row's values held the whole dense form, which was made anew for each of them."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" in plan and "map_from_arrays" not in plan.partition("zip_with")[2]
