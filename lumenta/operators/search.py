@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenta.operators import clusters, postings, score, topk
+from lumenta.operators import blocks, clusters, postings, score, topk
 from lumenta.scratch import scratch
 from lumenta.types import SearchParameters
 
@@ -38,7 +38,7 @@ def brute(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def inverted(lists: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Over documents that share a term, and only with a score above 0."""
-    return topk.top_k(topk.rounded(score.products(lists, queries)).where("score > 0"), k)
+    return topk.top_k(blocks.best(lists, queries, k, positive=True), k)
 
 
 def maxscore(lists: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
