@@ -43,27 +43,32 @@ def inverted(lists: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def maxscore(lists: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The answer of inverted(), with fewer documents scored; weights must not be negative."""
-    candidates = essential(lists, stats, queries, k)
-    return topk.top_k(topk.rounded(score.of_candidates(lists, queries, candidates)).where("score > 0"), k)
+    wanted = needed(lists, stats, queries, k).withColumnRenamed("term", "mark")
+    return topk.top_k(blocks.best(lists, queries, k, positive=True, wanted=wanted), k)
 
 
-def essential(lists: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Candidates (qid, doc_id) that have one of their query's essential terms.
+def needed(lists: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, term): each query's essential terms.
 
     Full scores of the k best documents of each query's strongest term give a threshold
-    that the k-th result reaches. Terms whose bounds together stay below it are not
-    essential: a document that has only such terms cannot be a result. So candidates come
-    from essential terms.
+    that the k-th result reaches; those documents are the head of the term's list, whatever
+    the query's weight. Terms whose bounds together stay below it are not essential: a
+    document that has only such terms cannot be a result. So candidates come from essential
+    terms.
     """
     bound = queries.join(stats, "term").withColumn("bound", F.col("weight") * F.col("max_value"))
     rising = W.partitionBy("qid").orderBy("bound", "term")
     ranked = bound.select("qid", "term", "weight", "bound", F.sum("bound").over(rising).alias("up_to"), F.row_number().over(W.partitionBy("qid").orderBy(F.desc("bound"), "term")).alias("nth"))
     ranked = scratch(ranked, "bounds")
-    first = ranked.where("nth = 1").select("qid", "term", "weight")
-    seeds = topk.top_k(score.products(lists, first), k).select("qid", "doc_id")
+    heads = postings.pruned(lists.select("term", "doc_id", "value"), k)
+    seeds = scratch(ranked.where("nth = 1").select("qid", "term").join(heads, "term").select("qid", "doc_id"), "seeds")
     theta = scratch(topk.thresholds(score.of_candidates(lists, queries, seeds), k), "theta")
-    needed = ranked.join(theta, "qid", "left").where(F.col("up_to") >= F.coalesce("theta", F.lit(0.0)) - 1e-5).select("qid", "term")
-    return needed.join(lists, "term").select("qid", "doc_id").distinct()
+    return ranked.join(theta, "qid", "left").where(F.col("up_to") >= F.coalesce("theta", F.lit(0.0)) - 1e-5).select("qid", "term")
+
+
+def essential(lists: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Candidates (qid, doc_id) that have one of their query's essential terms; there may be nearly as many as pairs."""
+    return needed(lists, stats, queries, k).join(lists, "term").select("qid", "doc_id").distinct()
 
 
 def exact(vectors: DataFrame, queries: DataFrame, ids: DataFrame, k: int) -> DataFrame:
