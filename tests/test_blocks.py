@@ -74,7 +74,7 @@ def test_marks(spark):
     assert got == [(0, 1, 2.0), (0, 4, 5.0), (0, 9, 0.0), (1, 0, 1.0), (1, 2, 3.0), (1, 3, 4.0), (1, 5, 6.0)]
 
 
-NO_PAIRS = ["inverted_topk", "store_roundtrip_topk", "maxscore_topk", "index_maxscore_topk"]
+NO_PAIRS = ["inverted_topk", "store_roundtrip_topk", "maxscore_topk", "index_maxscore_topk", "filter_exclude_topk"]
 
 
 @pytest.mark.parametrize("name", NO_PAIRS)
