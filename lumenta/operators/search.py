@@ -14,26 +14,8 @@ from lumenta.types import SearchParameters
 
 
 def brute(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Over all documents, also those of score 0 or below.
-
-    A document without a common term scores 0 and matters only where a query has fewer
-    than k documents above 0. Such a query, if it shares terms with m documents, is
-    completed from the k + m least ids, of which at least k share none.
-    """
-    scored = topk.rounded(score.products(vectors, queries))
-    best = scratch(topk.top_k(scored, k), "best")
-    full = best.where("score > 0").groupBy("qid").count().where(F.col("count") >= k)
-    lacking = scratch(queries.select("qid").distinct().join(full, "qid", "left_anti"), "lacking")
-    if lacking.isEmpty():
-        return best
-    own = scratch(scored.join(lacking, "qid", "left_semi"), "scored")
-    wanted = lacking.join(own.groupBy("qid").agg(F.count("*").alias("m")), "qid", "left").withColumn("m", F.coalesce("m", F.lit(0)) + k)
-    most = wanted.agg(F.max("m")).first()[0]
-    least = vectors.select("doc_id").distinct().orderBy("doc_id").limit(most)
-    numbered = least.select("doc_id", F.row_number().over(W.orderBy("doc_id")).cast("long").alias("nth"))
-    slots = wanted.select("qid", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("nth"))
-    zeros = slots.join(numbered, "nth").join(own, ["qid", "doc_id"], "left_anti").select("qid", "doc_id", F.lit(0.0).alias("score"))
-    return best.join(lacking, "qid", "left_anti").unionByName(topk.top_k(own.unionByName(zeros), k))
+    """Over all documents, also those of score 0 or below."""
+    return topk.top_k(blocks.best(vectors, queries, k), k)
 
 
 def inverted(lists: DataFrame, queries: DataFrame, k: int) -> DataFrame:
