@@ -62,7 +62,7 @@ def exact(vectors: DataFrame, queries: DataFrame, ids: DataFrame, k: int) -> Dat
 
 def quantized(codes: DataFrame, queries: DataFrame, quantizer: object, query_quantizer: object, k: int) -> DataFrame:
     """inverted() on integer codes; scores are decoded last."""
-    scored = score.integer_products(codes, queries).where("score > 0")
+    scored = blocks.best(codes, queries, k, positive=True, integer=True)
     return topk.top_k(scored, k).withColumn("score", F.round(quantizer.decode_dot(F.col("score"), query_quantizer), topk.DIGITS))
 
 
