@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,16 +85,26 @@ def clustered(index: dict[str, DataFrame], queries: DataFrame, k: int, params: S
     cut = postings.query_cut(queries, params.cut)
     members = index["members"] if docs is None else index["members"].join(docs.select("doc_id"), "doc_id", "left_semi")
     if params.mode == "exhaustive":
-        candidates = cut.select("qid", "term").join(members, "term").select("qid", "doc_id").distinct()
-        return topk.top_k(topk.rounded(score.of_candidates(index["vectors"], queries, candidates, integer=integer)), k)
-    # both are small next to the index, and written so that the threshold is found once
-    scored = scratch(clusters.summary_scores(cut, queries, index["summaries"]), "summary-scores")
-    candidates = scratch(surviving(scored, cut, members, index["vectors"], queries, k, params.heap_factor, integer), "candidates")
-    return topk.top_k(topk.rounded(score.of_candidates(index["vectors"], queries, candidates, integer=integer)), k)
+        marks, wanted = members.select("doc_id", F.col("term").alias("mark")), cut.select("qid", F.col("term").alias("mark"))
+    else:  # both are small next to the index, and written so that the threshold is found once
+        scored = scratch(clusters.summary_scores(cut, queries, index["summaries"]), "summary-scores")
+        marks, wanted = members.select("doc_id", _cluster()), scratch(promising(scored, cut, members, index["vectors"], queries, k, params.heap_factor, integer), "wanted")
+    return topk.top_k(blocks.best(index["vectors"], queries, k, integer=integer, marks=marks, wanted=wanted), k)
+
+
+def _cluster() -> Column:
+    """One number for a cluster of a term."""
+    return (F.shiftleft(F.col("term").cast("long"), 32) + F.col("cluster_id")).alias("mark")
 
 
 def surviving(scored: DataFrame, cut: DataFrame, members: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, heap_factor: float, integer: bool = False) -> DataFrame:
-    """Candidates (qid, doc_id) by a threshold found in the heaviest term's list.
+    """Candidates (qid, doc_id), documents of promising clusters; there may be nearly as many as pairs."""
+    wanted = promising(scored, cut, members, vectors, queries, k, heap_factor, integer)
+    return wanted.join(members.select("doc_id", _cluster()), "mark").select("qid", "doc_id").distinct()
+
+
+def promising(scored: DataFrame, cut: DataFrame, members: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, heap_factor: float, integer: bool = False) -> DataFrame:
+    """Clusters (qid, mark) by a threshold found in the heaviest term's list.
 
     Its clusters are taken by falling summary score until they hold k documents; the k-th
     best score among these is the threshold, and clusters of any cut term stay whose
@@ -104,11 +114,10 @@ def surviving(scored: DataFrame, cut: DataFrame, members: DataFrame, vectors: Da
     sizes = members.groupBy("term", "cluster_id").agg(F.count("*").alias("n"))
     order = W.partitionBy("qid").orderBy(F.desc("s_score"), "cluster_id").rowsBetween(W.unboundedPreceding, -1)
     seeds = first.join(sizes, ["term", "cluster_id"]).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < k)
-    seed_docs = seeds.select("qid", "term", "cluster_id").join(members, ["term", "cluster_id"]).select("qid", "doc_id").distinct()
-    theta = topk.thresholds(topk.rounded(score.of_candidates(vectors, queries, seed_docs, integer=integer)), k)
+    seeds = scratch(seeds.select("qid", _cluster()), "seeds")
+    theta = topk.thresholds(blocks.best(vectors, queries, k, integer=integer, marks=members.select("doc_id", _cluster()), wanted=seeds), k)
     kept = scored.join(theta, "qid", "left").where(F.col("theta").isNull() | (F.col("s_score") * F.lit(float(heap_factor)) >= F.col("theta")))
-    found = kept.select("qid", "term", "cluster_id").join(members, ["term", "cluster_id"]).select("qid", "doc_id")
-    return found.unionByName(seed_docs).distinct()
+    return kept.select("qid", _cluster()).unionByName(seeds).distinct()
 
 
 def sequential(index: dict[str, DataFrame], queries: DataFrame, k: int, params: SearchParameters, docs: DataFrame | None = None, integer: bool = False) -> DataFrame:
