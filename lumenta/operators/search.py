@@ -66,6 +66,14 @@ def quantized(codes: DataFrame, queries: DataFrame, quantizer: object, query_qua
     return topk.top_k(scored, k).withColumn("score", F.round(quantizer.decode_dot(F.col("score"), query_quantizer), topk.DIGITS))
 
 
+def best_groups(vectors: DataFrame, queries: DataFrame, groups: DataFrame, group: str, k: int, pad: bool = False) -> DataFrame:
+    """deduplicated() over all documents that share a term with a query, without their pairs."""
+    own = groups.select("doc_id", F.col(group).alias("group"))
+    best = topk.best_of_each(blocks.best(vectors, queries, k, shared=True, groups=own), "group")
+    top = topk.top_k(best.select("qid", "doc_id", "score"), k)
+    return topk.padded(top, queries, k) if pad else top
+
+
 def deduplicated(scores: DataFrame, groups: DataFrame, group: str, k: int, queries: DataFrame | None = None) -> DataFrame:
     """The k best groups (doc_id, group), each by its best document; filled with pads for each qid of queries, if given."""
     best = topk.best_of_each(scores.join(groups, "doc_id"), group)

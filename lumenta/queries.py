@@ -110,8 +110,7 @@ def maxscore_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def dedupe_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = embeddings(spark, sf)
-    scored = topk.rounded(score.products(e, batch(e)))
-    return search.deduplicated(scored, labels(spark, sf), "label", 5)
+    return search.best_groups(e, batch(e), labels(spark, sf), "label", 5)
 
 
 def dedupe_topk_padded(spark: SparkSession, sf: str) -> DataFrame:
