@@ -116,8 +116,7 @@ def dedupe_topk(spark: SparkSession, sf: str) -> DataFrame:
 def dedupe_topk_padded(spark: SparkSession, sf: str) -> DataFrame:
     """One result for each label; there are fewer labels than places."""
     e = embeddings(spark, sf)
-    q = batch(e)
-    return search.deduplicated(topk.rounded(score.products(e, q)), labels(spark, sf), "label", 15, q)
+    return search.best_groups(e, batch(e), labels(spark, sf), "label", 15, pad=True)
 
 
 def score_threshold(spark: SparkSession, sf: str) -> DataFrame:
