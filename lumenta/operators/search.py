@@ -23,6 +23,11 @@ def inverted(lists: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return topk.top_k(blocks.best(lists, queries, k, positive=True), k)
 
 
+def thresholds(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, theta): the k-th best score of the documents that share a term; queries with fewer have none."""
+    return topk.thresholds(blocks.best(vectors, queries, k, shared=True), k)
+
+
 def maxscore(lists: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The answer of inverted(), with fewer documents scored; weights must not be negative."""
     wanted = needed(lists, stats, queries, k).withColumnRenamed("term", "mark")

@@ -121,7 +121,7 @@ def dedupe_topk_padded(spark: SparkSession, sf: str) -> DataFrame:
 
 def score_threshold(spark: SparkSession, sf: str) -> DataFrame:
     e = embeddings(spark, sf)
-    return topk.thresholds(topk.rounded(score.products(e, batch(e))), K)
+    return search.thresholds(e, batch(e), K)
 
 
 def encoded(q: Quantizer) -> Callable:
