@@ -386,4 +386,4 @@ def test_lexical_search_finds_tokens_beyond_the_reference_dimension(spark, tmp_p
 def test_dense_forms_are_found_once_a_row(spark, name):
     """Before, the lambda over a row's values held the whole dense form, which was made anew for each of them."""
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert "zip_with" in plan and "map_from_arrays" not in plan.partition("zip_with")[2]
+    assert "zip_with" in plan and "map_from_arrays" not in plan.partition("zip_with")[2].partition(" AS dot")[0]
