@@ -39,17 +39,17 @@ def needed(lists: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> Da
 
     Full scores of the k best documents of each query's strongest term give a threshold
     that the k-th result reaches; those documents are the head of the term's list, whatever
-    the query's weight. Terms whose bounds together stay below it are not essential: a
-    document that has only such terms cannot be a result. So candidates come from essential
-    terms.
+    the query's weight, and the term is the mark by which they meet the query in blocks.
+    Terms whose bounds together stay below it are not essential: a document that has only
+    such terms cannot be a result. So candidates come from essential terms.
     """
     bound = queries.join(stats, "term").withColumn("bound", F.col("weight") * F.col("max_value"))
     rising = W.partitionBy("qid").orderBy("bound", "term")
     ranked = bound.select("qid", "term", "weight", "bound", F.sum("bound").over(rising).alias("up_to"), F.row_number().over(W.partitionBy("qid").orderBy(F.desc("bound"), "term")).alias("nth"))
     ranked = scratch(ranked, "bounds")
-    heads = postings.pruned(lists.select("term", "doc_id", "value"), k)
-    seeds = scratch(ranked.where("nth = 1").select("qid", "term").join(heads, "term").select("qid", "doc_id"), "seeds")
-    theta = scratch(topk.thresholds(score.of_candidates(lists, queries, seeds), k), "theta")
+    heads = scratch(postings.pruned(lists.select("term", "doc_id", "value"), k).select("doc_id", F.col("term").alias("mark")), "heads")
+    seeds = ranked.where("nth = 1").select("qid", F.col("term").alias("mark"))
+    theta = scratch(topk.thresholds(blocks.best(score.included(lists, heads.select(F.col("doc_id").alias("id"))), queries, k, marks=heads, wanted=seeds), k), "theta")
     return ranked.join(theta, "qid", "left").where(F.col("up_to") >= F.coalesce("theta", F.lit(0.0)) - 1e-5).select("qid", "term")
 
 

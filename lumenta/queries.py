@@ -265,8 +265,9 @@ def idmap_seismic_store_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_maxscore_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The index's vectors are written first: bounds, heads, threshold and search each read them."""
     e = embeddings(spark, sf)
-    return index_factory(spark, DIM, "inverted").add(sources.rows(e)).build().search(query_rows(e), K, SearchParameters(prune=True))
+    return index_factory(spark, DIM, "inverted").add(scratch(sources.rows(e), "rows")).build().search(query_rows(e), K, SearchParameters(prune=True))
 
 
 def index_exact_topk(spark: SparkSession, sf: str) -> DataFrame:

@@ -83,3 +83,13 @@ def test_no_table_of_pairs(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
     assert not [line for line in plan.splitlines() if "Aggregate [qid#" in line and "doc_id#" in line.partition("], [")[0]]
+
+
+@pytest.mark.parametrize("name", ["maxscore_topk", "index_maxscore_topk"])
+def test_maxscore_steps_make_no_pairs(spark, monkeypatch, name):
+    """Before, each head of a list was scored with every query on the way to the threshold, and an index's rows were made again for each step."""
+    plans, kept = {}, search.scratch
+    monkeypatch.setattr(search, "scratch", lambda df, step: plans.update({step: df._jdf.queryExecution().optimizedPlan().toString()}) or kept(df, step))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" in plans["theta"] and "array_sort(collect_list" not in plans["heads"]
+    assert not [line for plan in plans.values() for line in plan.splitlines() if "Aggregate [qid#" in line and "doc_id#" in line.partition("], [")[0]]
